@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, jaccard, mixing, warc
+from . import decontaminate, embeddings, jaccard, mixing, substring, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(_read(spark, sf_dir, "documents"))
+
+
 def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
@@ -31,5 +35,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_decontaminate, op6_ngram_jaccard_join, op9_warc_salvage, op10_embedding_near_dedup)}
-SQL = {"op1_mix_sources": mixing.SQL, "op4_decontaminate": decontaminate.SQL, "op6_ngram_jaccard_join": jaccard.SQL, "op9_warc_salvage": warc.SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_decontaminate, op6_ngram_jaccard_join, op8_substring_dedup, op9_warc_salvage, op10_embedding_near_dedup)}
+SQL = {"op1_mix_sources": mixing.SQL, "op4_decontaminate": decontaminate.SQL, "op6_ngram_jaccard_join": jaccard.SQL, "op8_substring_dedup": substring.SQL, "op9_warc_salvage": warc.SQL}
