@@ -210,3 +210,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 LONG, INT, BIN = T.LongType(), T.IntegerType(), T.BinaryType()
+
+
+# ---- sums of fixed-size vectors -------------------------------------------------------------------------------
+
+
+def vector_rows(x: np.ndarray):
+    """A batch (s int, blob binary) of the slices of a vector whose length SLICES divides."""
+    codec = pa.Codec("zstd", 1)
+    blobs = [codec.compress(part.astype(np.int64), asbytes=True) for part in np.split(x, SLICES)]
+    return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["s", "blob"])
+
+
+def sum_vectors(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of all vectors of vector_rows(); the driver gets one vector of ``size`` numbers."""
+    part = size // SLICES
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(pa.Codec("zstd").decompress(blob, part * 8, asbytes=True), np.int64)
+                held[s] = held[s] + x if s in held else x
+        for s, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["s", "blob"])
+
+    out = np.zeros(size, np.int64)
+    for r in rows.repartition(SLICES, "s").mapInArrow(add, "s int, blob binary").collect():
+        out[r.s * part : (r.s + 1) * part] = np.frombuffer(bytes(r.blob), np.int64)
+    return out
+
+
+def crc_mod(column: str, m: int):
+    """crc32 of the id as text (null: of the empty text), modulo m."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m
