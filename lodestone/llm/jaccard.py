@@ -3,8 +3,8 @@
 1. Documents with equal shingle sets form a class; a class is compared once, whatever its number of copies.
 2. Shingles are ordered rarest first by a fixed-size count sketch of the whole corpus, then by hash. A set of n
    shingles links only with sets that share one of its first n - ceil(t n) + 1 in this order.
-3. Prefix shingles are dealt by hash. A shingle's group first proposes stars and chains (linear in the group); these
-   are verified and united. Only pairs of the group that then lie in different components and pass the length and
+3. Prefix shingles are dealt by hash. A shingle's group first proposes stars, chains and rings (linear in the group);
+   these are verified and united. Only pairs of the group that then lie in different components and pass the length and
    positional filters are proposed in full, so that no link between components is lost and no group is squared for
    links that are known already.
 4. Each proposed pair passes the suffix filter (shingle counts in 128 hash ranges bound the overlap) and is verified
@@ -33,6 +33,7 @@ RANGES = 128
 PARTICIPANT_BITS = 26
 DTYPES = ["u8", "u8", "u4", "u4"]
 BROADCAST_ROWS = 300_000
+SMALL_GROUP = 16  # larger groups propose rings for an eighth of their shingles
 
 
 def sets(buf: np.ndarray, offs: np.ndarray, k: int):
@@ -160,6 +161,13 @@ def groups(packed: DataFrame, percent: int) -> DataFrame:
             least = -(-n * percent // 100)
             mate = np.searchsorted(wide + n, wide + least, "left")
             pairs = [_near(key, cls, n, pos, m, at, percent) for m in (np.maximum(mate, start[gid]), np.maximum(at - 1, start[gid]))]
+            # a ring in an order of the group's own, so that members that share many shingles meet many others
+            ring = np.lexsort((mix(cls ^ mix(key)), gid))
+            after = np.where(np.arange(len(ring)) + 1 == (start + size)[gid], start[gid], np.arange(len(ring)) + 1)
+            i, j = ring, ring[after]
+            meet = (size[gid] <= SMALL_GROUP) | (mix(key) >> np.uint64(61) == 0)
+            i, j = i[meet], j[meet]
+            pairs.append(_near(key, cls, n, pos * 0, np.minimum(i, j), np.maximum(i, j), percent))  # whichever shingle they meet at
             pair = np.unique(np.concatenate(pairs), axis=0)
             e = np.flatnonzero(many)
             zeros = lambda m: pa.array(np.zeros(m, np.int32))
@@ -234,6 +242,78 @@ def _owner_hash(d1: np.ndarray, ids: pa.Array) -> np.ndarray:
     return mix(d1.view(np.uint64) ^ mix(rep + np.uint64(1)))
 
 
+MEMBERS = ["u8", "u8", "u4", "u4", "u8", f"V{RANGES}"]
+
+
+def pack_members(member: DataFrame, n_buckets: int) -> DataFrame:
+    """Packed (key, class, n, pos, component, counts by hash range)."""
+
+    def run(batches):
+        out = Packed(MEMBERS, n_buckets)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, cls, n, pos, c = (batch.column(i).to_numpy() for i in range(5))
+            counts = np.frombuffer(b"".join(batch.column(5).to_pylist()), f"V{RANGES}")
+            key = key.view(np.uint64)
+            if out.add((mix(key) % np.uint64(n_buckets)).astype(np.int32), key, cls.view(np.uint64), n, pos, c.view(np.uint64), counts):
+                yield from out.rows_out()
+        yield from out.rows_out()
+
+    return member.mapInArrow(run, Packed.SCHEMA)
+
+
+def apart_pairs(packed: DataFrame, percent: int, dense: bool, tile: int = 512) -> DataFrame:
+    """(a, b) of each group's members in different components that pass the length, positional and suffix filters.
+
+    dense=False: for each member only one of each other component, by a hash of the group's own.
+    """
+
+    def few(key, cls, c, u, v):
+        by = mix(cls[v].view(np.uint64) ^ mix(key))
+        order = np.lexsort((by, c[v], u))
+        u, v = u[order], v[order]
+        new = np.concatenate([[True], (u[1:] != u[:-1]) | (c[v[1:]] != c[v[:-1]])])
+        return u[new], v[new]
+
+    def one_group(n, pos, c, counts):
+        for x in range(0, len(n), tile):
+            for y in range(x, len(n), tile):
+                a, b = slice(x, x + tile), slice(y, y + tile)
+                ok = (c[a][:, None] != c[b][None]) & (n[a][:, None] * 100 >= n[b][None] * percent)
+                ok &= np.minimum((n - pos)[a][:, None], (n - pos)[b][None]) * (100 + percent) >= (n[a][:, None] + n[b][None]) * percent
+                i, j = np.nonzero(np.triu(ok, 1) if x == y else ok)
+                i, j = i + x, j + y
+                for k in range(0, len(i), 1 << 16):
+                    u, v = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    low = np.minimum(counts[u], counts[v])
+                    most = low.sum(axis=1, dtype=np.int64) + np.where((low == 255).any(axis=1), np.minimum(n[u], n[v]), 0)
+                    keep = most * (100 + percent) >= percent * (n[u] + n[v])
+                    if keep.any():
+                        yield u[keep], v[keep]
+
+    def run(batches):
+        for _, (key, cls, n, pos, c, counts) in by_bucket(batches, MEMBERS):
+            order = np.lexsort((cls, n, key))
+            key, cls, n, pos, c = key[order], cls[order].view(np.int64), n[order].astype(np.int64), pos[order].astype(np.int64), c[order]
+            counts = counts[order].view(np.uint8).reshape(-1, RANGES)
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            found = []
+            for x, y in zip(start, [*start[1:], len(key)], strict=True):
+                if not dense and y - x > SMALL_GROUP and mix(key[x : x + 1])[0] >> np.uint64(61):
+                    continue
+                for u, v in one_group(n[x:y], pos[x:y], c[x:y], counts[x:y]):
+                    if not dense:
+                        u, v = few(key[x], cls[x:y], c[x:y], u, v)
+                    p, q = cls[x + u], cls[x + v]
+                    found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
+            if found:
+                pair = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
+
+    return packed.mapInArrow(run, "a long, b long")
+
+
 def link_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures of documents, classes, verified links (a, b) that join all linked classes)."""
     spark = docs.sparkSession
@@ -247,19 +327,17 @@ def link_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     proposed = found.where("kind = 1").select("a", "b").distinct()
     tried = Table(suffix_filter(proposed, classes, percent), "tried").df
     links = Table(verify(docs, tried, classes, k, percent), "links").df
-    # the rest: pairs of a group that no known link joins yet
-    comp = components(links)
-    member = found.where("kind = 0").select("key", "a", "n", "pos").join(comp.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a"))
-    mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    member = Table(member.join(mixed, "key").select("key", "a", "n", "pos", "c"), "apart").df
-    x, y = member.alias("x"), member.alias("y")
-    before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.a") < F.col("y.a")))
-    bound = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")).cast("long")
-    near = (F.col("x.n").cast("long") * 100 >= F.col("y.n").cast("long") * percent) & (bound * (100 + percent) >= (F.col("x.n").cast("long") + F.col("y.n")) * percent)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & before & near).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
-    rest = Table(suffix_filter(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), classes, percent), "rest").df
-    if rest.limit(1).count():
-        links = links.union(Table(verify(docs, rest, classes, k, percent), "links").df)
+    # the rest: pairs of a group that no known link joins yet; a few of each first, then all
+    for dense in (False, True):
+        comp = components(links).withColumnRenamed("node", "a")
+        member = found.where("kind = 0").select("key", "a", "n", "pos").join(comp, "a", "left").withColumn("c", F.coalesce("component", "a"))
+        mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        apart = member.join(mixed, "key").join(classes.select(F.col("d1").alias("a"), "blob"), "a").select("key", "a", "n", "pos", "c", "blob")
+        rest = Table(apart_pairs(deal(pack_members(apart, nb), partitions(spark)), percent, dense).distinct(), "rest").df
+        rest = Table(suffix_filter(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), classes, percent), "rest").df
+        if rest.limit(1).count():
+            links = links.union(Table(verify(docs, rest, classes, k, percent), "links").df)
+            tried = tried.union(rest)
     return rows, classes, links
 
 
