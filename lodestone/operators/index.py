@@ -48,7 +48,7 @@ def tfidf(docs: DataFrame) -> DataFrame:
 
 def position_mask(pos: F.Column, width: int = 24) -> F.Column:
     """A bit of 56 for the window a position is in."""
-    return F.shiftleft(F.lit(1).cast("long"), ((pos / width).cast("int") % 56))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), ((pos / width).cast("int") % 56))
 
 
 def write_index(docs: DataFrame, path: str) -> None:

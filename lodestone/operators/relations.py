@@ -12,11 +12,20 @@ from ..functions import text as tx
 def simhash(words: Column, n: int = 2) -> Column:
     """64 bits, each the majority of that bit over the hashes of all n-word shingles."""
     grams = tx.rolling_hash(words, n)
-    bit = lambda i: F.aggregate(grams, F.lit(0), lambda a, h: a + F.when(F.shiftright(h, i).bitwiseAND(F.lit(1).cast("long")) == 1, 1).otherwise(-1)) > 0
-    out = F.lit(0).cast("long")
-    for i in range(64):
-        out = out.bitwiseOR(F.when(bit(i), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return out
+    bit = lambda h, i: F.call_function("shiftright", h, i).bitwiseAND(F.lit(1).cast("long"))
+    votes = lambda i: F.aggregate(grams, F.lit(0).cast("long"), lambda a, h: a + 2 * bit(h, i) - 1)
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.when(votes(i) > 0, one(i)).otherwise(F.lit(0).cast("long"))))
+
+
+def simhash_votes(h: str) -> list[Column]:
+    """As simhash(), for hashes in rows: an aggregate for each bit."""
+    bit = lambda i: F.shiftright(F.col(h), i).bitwiseAND(F.lit(1).cast("long"))
+    return [F.sum(2 * bit(i) - 1).alias(f"v{i}") for i in range(64)]
+
+
+def simhash_of_votes() -> Column:
+    return F.aggregate(F.array(*(F.when(F.col(f"v{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
 def floor_lookup(rows: DataFrame, key: str, ranges: DataFrame, start: str, value: str, salt: int = 16) -> DataFrame:

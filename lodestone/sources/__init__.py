@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions import urls
 
-CRAWL = T.StructType.fromDDL("domain string, url string, ip string, cookies boolean, http_status short, ts timestamp, content_type string, body binary, request_time_ms short, headers string")
-LINK = T.StructType.fromDDL("source_id int, dest_id int")
-ANCHOR = T.StructType.fromDDL("dest string, url array<string>, text array<string>, cnt array<int>")
+CRAWL = "domain string, url string, ip string, cookies boolean, http_status short, ts timestamp, content_type string, body binary, request_time_ms short, headers string"
+LINK = "source_id int, dest_id int"
+ANCHOR = "dest string, url array<string>, text array<string>, cnt array<int>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
