@@ -241,6 +241,14 @@ def sum_vectors(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the id as text (null: of the empty text), modulo m."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, crc_mod, kth_largest, ship, sum_vectors, vector_rows
+from .common import Table, crc_mod, fresh, kth_largest, ship, sum_vectors, vector_rows
 from .words import _STEP, doc_of, hashed, mix, text_chunks
 
 VIEWS = {"bytes": 16, "words": 16, "pairs": 16, "repeats": 8}
@@ -114,7 +114,8 @@ def weigh(docs: DataFrame, ratio, others: list[str]) -> DataFrame:
     held = spark.sparkContext.broadcast(ratio)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id"), F.lit(-1))), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     noise = -F.log(-F.log(u)) * NOISE
-    rows = docs.select(*others, *([] if "text" in others else ["text"]), noise.alias("_noise"))
+    rows = docs.select(*others, *([] if "text" in others else ["text"]), noise.alias(fresh("_noise", docs.columns)))
+    made = [fresh("_log_weight", others), fresh("_noisy", others)]
     at = rows.columns.index("text")
     drop = "text" not in others
 
@@ -125,9 +126,9 @@ def weigh(docs: DataFrame, ratio, others: list[str]) -> DataFrame:
                 ids, d = features(buf, offs)
                 w[i:j] = 100 * np.bincount(d, held.value[ids], minlength=j - i) / np.maximum(1, np.bincount(d, minlength=j - i))
             cols = [c for i, c in enumerate(batch.columns[:-1]) if not (drop and i == at)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(w), pa.array(w + batch.column(batch.num_columns - 1).to_numpy())], [*others, "_log_weight", "_noisy"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(w), pa.array(w + batch.column(batch.num_columns - 1).to_numpy())], [*others, *made])
 
-    schema = docs.select(*others).schema.add("_log_weight", "double").add("_noisy", "double")
+    schema = docs.select(*others).schema.add(made[0], "double").add(made[1], "double")
     return rows.mapInArrow(run, schema)
 
 
@@ -172,4 +173,4 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 def select(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with all their columns, that are sampled."""
     m = Model(docs, labels, sample)
-    return weigh(docs, m.ratio, docs.columns).where(F.col("_noisy") >= F.lit(m.cut)).select(*docs.columns)
+    return weigh(docs, m.ratio, docs.columns).where(F.col(fresh("_noisy", docs.columns)) >= F.lit(m.cut)).select(*docs.columns)

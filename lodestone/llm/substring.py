@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Table, bitmap, buckets, in_bitmap, partitions, ship
+from .common import Table, bitmap, buckets, fresh, in_bitmap, partitions, ship
 from .words import Packed, by_bucket, deal, doc_of, grams, hashed, mix, split_words, text_chunks, whole
 
 K = 35
@@ -230,8 +230,9 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
 
 def with_spans(docs: DataFrame, spans: DataFrame, names: list[str]) -> DataFrame:
     """docs' (names, text) with the spans of each text, or null."""
-    m = docs.select(*names, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_text_md5"))
-    return m.join(spans.select(F.col("hex").alias("_text_md5"), F.col("spans").alias("_spans")), "_text_md5", "left")
+    key, own = fresh("_md5", docs.columns), fresh("_spans", docs.columns)
+    m = docs.select(*names, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias(key))
+    return m.join(spans.select(F.col("hex").alias(key), F.col("spans").alias(own)), key, "left").select(*names, own)
 
 
 def named(spans: DataFrame) -> DataFrame:
@@ -279,7 +280,7 @@ def report(docs: DataFrame, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = with_spans(docs.select("doc_id", "text"), spans, ["doc_id", "text"])
-    return joined.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, k: int = K) -> DataFrame:
@@ -304,7 +305,7 @@ def remove(docs: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
 
     joined = with_spans(docs, spans, docs.columns)
-    return joined.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema)
 
 
 SQL = r"""
