@@ -183,11 +183,11 @@ def _counts_of_counts(c: np.ndarray) -> list[int]:
     return [int((c == i).sum()) for i in (1, 2, 3, 4)]
 
 
-def build_pairs(packed: DataFrame, top: str, least: int, nb: int) -> DataFrame:
+def build_pairs(packed: DataFrame, top: str, least: int, nw: int) -> DataFrame:
     """Writes the kept bigrams; what words need as packed rows, and a row for each file."""
 
     def run(batches):
-        out = Packed(PARTS, nb)
+        out = Packed(PARTS, nw)
         for bucket, cols in by_bucket(batches, PAIRS):
             w, u, c = total(*cols)
             keep = c >= least
@@ -200,7 +200,7 @@ def build_pairs(packed: DataFrame, top: str, least: int, nb: int) -> DataFrame:
             both = np.concatenate([word, ctx.astype(np.uint64)])
             pad = lambda a, b: np.concatenate([a, b])
             zw, zc = np.zeros(len(word), np.int64), np.zeros(len(ctx), np.int64)
-            if out.add(word_bucket(both, nb), both, pad(count, zc), pad(contexts, zc), pad(zw, s), pad(zw, n2), pad(zw, n3)):
+            if out.add(word_bucket(both, nw), both, pad(count, zc), pad(contexts, zc), pad(zw, s), pad(zw, n2), pad(zw, n3)):
                 yield from (_wide(b) for b in out.rows_out())
         yield from (_wide(b) for b in out.rows_out())
 
@@ -240,9 +240,9 @@ class Model:
         spark = docs.sparkSession
         ship(spark)
         nb, parts = buckets(spark), partitions(spark)
-        self.nb, self.least = nb, least
+        self.nb, self.nw, self.least = nb, 2 * parts, least  # fewer for words: reducers send a row to each
         top = new_path(spark, "model")
-        made = Table(build_pairs(deal(count_pairs(docs, nb), parts), f"{top}/pairs", least, nb), "pairs")
+        made = Table(build_pairs(deal(count_pairs(docs, nb), parts), f"{top}/pairs", least, self.nw), "pairs")
         words = Table(build_words(deal(made.df.where("blob is not null").select("bucket", "n", "blob"), parts), f"{top}/words"), "words")
         p = made.df.where("blob is null").select("bucket", "file", "stats").collect()  # a row a bucket
         w = words.df.select("bucket", "file", "stats").collect()
@@ -259,13 +259,13 @@ class Model:
         spare = self.d1[1] * cont[0] + self.d1[2] * cont[1] + self.d1[3] * rest
         self.gamma1 = spare / self.types if self.types else 1.0
         end = np.array([END])
-        self.texts = int(self.words.find(end, word_bucket(end, nb))[0][0])  # each text begins and ends once
+        self.texts = int(self.words.find(end, word_bucket(end, self.nw))[0][0])  # each text begins and ends once
         self.words.held, self.pairs.held = {}, {}
 
     def log10(self, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count of the token, log10 p(w | u)) for each token."""
         all_words, at = np.unique(np.concatenate([w, u]), return_inverse=True)
-        count, cont, kept, twos, threes = self.words.find(all_words, word_bucket(all_words, self.nb))
+        count, cont, kept, twos, threes = self.words.find(all_words, word_bucket(all_words, self.nw))
         count_u = np.where(all_words == BEGIN, self.texts, count)
         aw, au = at[: len(w)], at[len(w) :]
         pair = pair_hash(w, u)
