@@ -183,7 +183,7 @@ def distinct_content(spark, d):
 @query(None)
 def near_copies_simhash(spark, d):
     words = docs(spark, d).select("doc_id", tx.tokens(F.col("text")).alias("words"))
-    grams = words.select("doc_id", F.explode(tx.rolling_hash(F.col("words"), 2)).alias("h"))
+    grams = words.select("doc_id", F.explode_outer(tx.rolling_hash(F.col("words"), 2)).alias("h"))
     return grams.groupBy("doc_id").agg(*relations.simhash_votes("h")).select("doc_id", relations.simhash_of_votes().alias("simhash"))
 
 
