@@ -49,7 +49,8 @@ STAGES = [
     ("mix", mix_sources),
 ]
 
-#: Hashed models and a Gumbel sample have no SQL; tests/llm/test_pipeline.py holds run() against brute force.
+#: Hashed models and a Gumbel sample have no SQL; tests/llm hold the operators against brute force, and the stages
+#: together to what each promises of the one before it.
 ORACLE_SQL = None
 
 
