@@ -214,32 +214,30 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percen
 
     def owner(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_owner_hash(batch.column(0).to_numpy(), batch.column(1)).view(np.int64))], ["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(_id_hash(batch.column(0)).view(np.int64))], ["h"])
 
-    owners = classes.join(ends, "d1").select("d1", "rep").mapInArrow(owner, "h long")
+    owners = classes.join(ends, "d1").select("rep").mapInArrow(owner, "h long")
     m = spark.sparkContext.broadcast(bitmap(owners, "h", PARTICIPANT_BITS))  # 2**PARTICIPANT_BITS / 8 bytes
 
     def with_class(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for i, j, buf, offs in text_chunks(batch):
+            batch = batch.filter(pa.array(in_bitmap(m.value, _id_hash(batch.column(0)), PARTICIPANT_BITS)))
+            for _, _, buf, offs in text_chunks(batch):
                 g, first, n = sets(buf, offs, k)
                 d1 = np.array([digest(g[a : a + c])[0] if c else 0 for a, c in zip(first, n, strict=True)], np.int64)
-                hs = _owner_hash(d1, ids.slice(i, j - i))
-                hit = in_bitmap(m.value, hs, PARTICIPANT_BITS) & (n > 0)
-                keep = np.repeat(hit, n)
-                yield pa.RecordBatch.from_arrays([pa.array(d1[hit]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[hit])]).astype(np.int32)), pa.array(g[keep].view(np.int64)))], ["d1", "items"])
+                hit = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(d1[hit]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[hit])]).astype(np.int32)), pa.array(g.view(np.int64)))], ["d1", "items"])
 
-    owned = docs.select("doc_id", "text").mapInArrow(with_class, "d1 long, items array<long>")
+    # one exchange for both sides; documents that share an id but are of no pair fall out at the joins
+    owned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(with_class, "d1 long, items array<long>").repartition("d1")
     side = lambda x: owned.toDF(x, f"s{x}")
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     overlap = F.size(F.array_intersect("sa", "sb")).cast("long")
     return joined.where(overlap * (100 + percent) >= F.lit(percent) * (F.col("na").cast("long") + F.col("nb"))).select("a", "b").distinct()
 
 
-def _owner_hash(d1: np.ndarray, ids: pa.Array) -> np.ndarray:
-    rep = ids.fill_null(-1).to_numpy().view(np.uint64)
-    return mix(d1.view(np.uint64) ^ mix(rep + np.uint64(1)))
+def _id_hash(ids: pa.Array) -> np.ndarray:
+    return mix(ids.fill_null(-1).to_numpy().view(np.uint64) + np.uint64(1))
 
 
 MEMBERS = ["u8", "u8", "u4", "u4", "u8", f"V{RANGES}"]
