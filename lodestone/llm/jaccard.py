@@ -312,8 +312,16 @@ def apart_pairs(packed: DataFrame, percent: int, dense: bool, tile: int = 512) -
     return packed.mapInArrow(run, "a long, b long")
 
 
+def relabel(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, component) of all classes after the links (a, b) unite components; component is the smallest node."""
+    old = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    apart = links.join(old("a"), "a").join(old("b"), "b").where("ca <> cb").select("ca", "cb")
+    moved = components(apart, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return Table(label.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "label").df
+
+
 def link_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signatures of documents, classes, verified links (a, b) that join all linked classes)."""
+    """(signatures of documents, classes, the (node, component) of each class)."""
     spark = docs.sparkSession
     ship(spark)
     sig = Table(signatures(docs, k), "signatures").df
@@ -325,25 +333,27 @@ def link_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     proposed = found.where("kind = 1").select("a", "b").distinct()
     tried = Table(suffix_filter(proposed, classes, percent), "tried").df
     links = Table(verify(docs, tried, classes, k, percent), "links").df
+    label = relabel(classes.select(F.col("d1").alias("node"), F.col("d1").alias("component")).distinct(), links)
     # the rest: pairs of a group that no known link joins yet; a few of each first, then all
     for dense in (False, True):
-        comp = components(links).withColumnRenamed("node", "a")
-        member = found.where("kind = 0").select("key", "a", "n", "pos").join(comp, "a", "left").withColumn("c", F.coalesce("component", "a"))
+        c = label.select(F.col("node").alias("a"), F.col("component").alias("c"))
+        member = found.where("kind = 0").select("key", "a", "n", "pos").join(c, "a")
         mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         apart = member.join(mixed, "key").join(classes.select(F.col("d1").alias("a"), "blob"), "a").select("key", "a", "n", "pos", "c", "blob")
         rest = Table(apart_pairs(deal(pack_members(apart, nb), partitions(spark)), percent, dense).distinct(), "rest").df
         rest = Table(suffix_filter(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), classes, percent), "rest").df
         if rest.limit(1).count():
-            links = links.union(Table(verify(docs, rest, classes, k, percent), "links").df)
+            links = Table(verify(docs, rest, classes, k, percent), "links").df
+            if links.limit(1).count():
+                label = relabel(label, links)
             tried = tried.union(rest)
-    return rows, classes, links
+    return rows, classes, label
 
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
-    rows, classes, links = link_classes(docs, k, percent)
-    comp = components(links).withColumnRenamed("node", "d1")
-    named = classes.select("d1", "d2", "rep").join(comp, "d1", "left").withColumn("component", F.coalesce("component", "d1"))
+    rows, classes, label = link_classes(docs, k, percent)
+    named = classes.select("d1", "d2", "rep").join(label.withColumnRenamed("node", "d1"), "d1")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     named = Table(named.join(least, "component").select("d1", "d2", "least"), "named").df
     out = rows.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
