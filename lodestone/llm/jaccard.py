@@ -247,7 +247,7 @@ def pack_members(member: DataFrame, n_buckets: int) -> DataFrame:
     """Packed (key, class, n, pos, component, counts by hash range)."""
 
     def run(batches):
-        out = Packed(MEMBERS, n_buckets)
+        out = Packed(MEMBERS, n_buckets, flush=100_000)  # rows of 160 bytes
         for batch in batches:
             if not batch.num_rows:
                 continue
