@@ -125,9 +125,11 @@ def kth_largest(df: DataFrame, key: str, k: int, fit: int = 50_000) -> tuple[flo
 SLICES = 64
 
 
-def bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
+def bitmap(df: DataFrame, key: str, bits: int, hash_of=None) -> np.ndarray:
     """2**bits bits, one set for the top bits of each (hashed, long) key: a filter with false positives only.
 
+    hash_of, if given, makes the hashes from an Arrow array of keys, in the worker that marks them.
+
     The driver gets 2**bits / 8 bytes whatever the rows are; beyond about 2**bits keys the filter lets all pass, which
     costs time and not results.
     """
@@ -138,7 +140,9 @@ def bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
     def mark(batches):
         for batch in batches:
             for rows in [batch]:
-                at = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(64 - bits)
+                x = rows.column(0)
+                x = hash_of(x) if hash_of else x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                at = x >> np.uint64(64 - bits)
                 at = np.unique(at)
                 part = (at // np.uint64(size * 8)).astype(np.int32)
                 yield from _slices(part, (at % np.uint64(size * 8)).astype(np.uint32))
@@ -159,7 +163,7 @@ def bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
         for p, m in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pa.Codec("zstd").compress(m, asbytes=True)], pa.binary())], ["slice", "map"])
 
-    parts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long")).mapInArrow(mark, "slice int, at binary, n int")
+    parts = (df if hash_of else df.where(F.col(key).isNotNull())).select(F.col(key).cast("long")).mapInArrow(mark, "slice int, at binary, n int")
     found = parts.repartition(SLICES, "slice").mapInArrow(merge, "slice int, map binary").collect()  # 64 rows at most
     out = np.zeros(size * SLICES, np.uint8)
     for r in found:

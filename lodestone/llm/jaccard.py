@@ -31,6 +31,7 @@ SKETCH_BITS = 20
 SKETCH_SLICES = 64
 RANGES = 128
 PARTICIPANT_BITS = 26
+CHUNK = 1 << 18  # bytes of text hashed at a time
 DTYPES = ["u8", "u8", "u4", "u4"]
 BROADCAST_ROWS = 300_000
 SMALL_GROUP = 16  # larger groups propose rings for an eighth of their shingles
@@ -67,7 +68,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             ids = batch.column(0)
-            for i, j, buf, offs in text_chunks(batch):
+            for i, j, buf, offs in text_chunks(batch, limit=CHUNK):
                 g, first, n = sets(buf, offs, k)
                 sketch += np.bincount((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
                 own = [g[a : a + m] for a, m in zip(first, n, strict=True)]
@@ -109,7 +110,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, rank, n_buckets: int) -> Dat
     def run(batches):
         out, seen, ranks = Packed(DTYPES, n_buckets), set(), rank.value
         for batch in batches:
-            for _, _, buf, offs in text_chunks(batch):
+            for _, _, buf, offs in text_chunks(batch, limit=CHUNK):
                 g, first, n = sets(buf, offs, k)
                 fresh = np.zeros(len(n), bool)
                 cls = np.zeros(len(n), np.int64)
@@ -212,17 +213,13 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percen
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("d1")).union(pairs.select("b")).distinct()
 
-    def owner(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_id_hash(batch.column(0)).view(np.int64))], ["h"])
-
-    owners = classes.join(ends, "d1").select("rep").mapInArrow(owner, "h long")
-    m = spark.sparkContext.broadcast(bitmap(owners, "h", PARTICIPANT_BITS))  # 2**PARTICIPANT_BITS / 8 bytes
+    owners = classes.join(ends, "d1").select("rep")
+    m = spark.sparkContext.broadcast(bitmap(owners, "rep", PARTICIPANT_BITS, _id_hash))  # 2**PARTICIPANT_BITS / 8 bytes
 
     def with_class(batches):
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(m.value, _id_hash(batch.column(0)), PARTICIPANT_BITS)))
-            for _, _, buf, offs in text_chunks(batch):
+            for _, _, buf, offs in text_chunks(batch, limit=CHUNK):
                 g, first, n = sets(buf, offs, k)
                 d1 = np.array([digest(g[a : a + c])[0] if c else 0 for a, c in zip(first, n, strict=True)], np.int64)
                 hit = n > 0
