@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .functions import urls
+from .functions import feeds, urls
 from .operators import index, keywords, scoring, search
 from .plans.parse import parse
 from .queries import HAS, TOK, docs, query, table
@@ -149,3 +149,11 @@ def score_final(spark, d):
 @query(r"SELECT page_id, regexp_extract(url, '://([^/:?#]*)', 1) AS host FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/?#]*/?([?#].*)?$')")
 def root_pages(spark, d):
     return table(spark, d, "pages").where(urls.path(F.col("url")) == "/").select("page_id", urls.host(F.col("url")).alias("host"))
+
+
+@query(r"""WITH l AS (SELECT page_id, url, trim(regexp_replace(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)), '#.*$', '')) AS h FROM pages),
+r AS (SELECT page_id, url, h, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS dir FROM l)
+SELECT page_id, CASE WHEN h LIKE 'http%' THEN h WHEN h LIKE '/%' THEN root || h WHEN h = '' THEN regexp_replace(url, '#.*$', '') ELSE root || dir || h END AS target, count(*) AS n FROM r GROUP BY ALL""")
+def page_targets(spark, d):
+    links = table(spark, d, "pages").select("page_id", "url", F.explode(tx.hrefs(F.col("html"))).alias("href"))
+    return links.select("page_id", feeds.resolve(F.col("href"), F.col("url")).alias("target")).groupBy("page_id", "target").agg(F.count("*").alias("n"))
