@@ -1,8 +1,8 @@
 """Language-model scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark.
 
-Counting: each task packs its distinct bigrams by hash bucket; reducers sum them into exact counts, drop those below
-``least`` from the table (their mass goes to the back-off, so that each context still sums to one) and pass on what
-each word needs: its count, in how many distinct contexts it stands, and what is left of its own contexts' mass. A
+Counting: each task packs its distinct bigrams by hash bucket; reducers sum them into exact counts, write those from
+``least`` on (with 1, as op7 runs, all; else the mass of the others goes to the back-off, so that each context still
+sums to one) and pass on what each word needs: its count, in how many distinct contexts it stands, and what is left of its own contexts' mass. A
 second shuffle sums these by word. Both tables are written as sorted hash arrays, a file a bucket, into the shared
 folder, and workers map the files into memory to score.
 
@@ -35,7 +35,7 @@ U = np.uint64
 END, BEGIN = U(0x3C6EF372FE94F82B), U(0xA54FF53A5F1D36F1)
 HOLD_OUT = (7, 2)
 PAIRS = ["u8", "u8", "u4"]  # word, context, count
-PARTS = ["u8", "u8", "u4", "u8", "u4", "u4"]  # word; its count, contexts; as context: kept sum, kept twos, kept threes and more
+PARTS = ["u8", "u8", "u4", "u8", "u4", "u4", "u4"]  # word; its count, contexts; as context: kept sum, kept ones, kept twos, kept threes and more
 SPREAD = 16
 
 
@@ -170,7 +170,7 @@ class Files:
         return out
 
 
-WORD_FILE = ["u8", "u8", "u4", "u8", "u4", "u4"]
+WORD_FILE = ["u8", "u8", "u4", "u8", "u4", "u4", "u4"]
 PAIR_FILE = ["u8", "u4"]
 MADE = "bucket int, n int, blob binary, kind string, file string, stats array<long>"
 
@@ -196,11 +196,11 @@ def build_pairs(packed: DataFrame, top: str, least: int, nw: int) -> DataFrame:
             file = Files.write(top, [h[order], c[keep][order]], PAIR_FILE)
             yield _made(bucket, "pairs", file, [len(w), *_counts_of_counts(c)])
             word, count, contexts = sums_by(w, c, np.ones(len(w), np.int64))
-            ctx, s, n2, n3 = sums_by(u[keep], c[keep], c[keep] == 2, c[keep] > 2) if keep.any() else [np.zeros(0, np.int64)] * 4
+            ctx, s, n1, n2, n3 = sums_by(u[keep], c[keep], c[keep] == 1, c[keep] == 2, c[keep] > 2) if keep.any() else [np.zeros(0, np.int64)] * 5
             both = np.concatenate([word, ctx.astype(np.uint64)])
             pad = lambda a, b: np.concatenate([a, b])
             zw, zc = np.zeros(len(word), np.int64), np.zeros(len(ctx), np.int64)
-            if out.add(word_bucket(both, nw), both, pad(count, zc), pad(contexts, zc), pad(zw, s), pad(zw, n2), pad(zw, n3)):
+            if out.add(word_bucket(both, nw), both, pad(count, zc), pad(contexts, zc), pad(zw, s), pad(zw, n1), pad(zw, n2), pad(zw, n3)):
                 yield from (_wide(b) for b in out.rows_out())
         yield from (_wide(b) for b in out.rows_out())
 
@@ -235,8 +235,8 @@ class Model:
     """File names by bucket and a few totals; the arrays themselves are mapped where they are used."""
 
     def __init__(self, docs: DataFrame, least: int = 2) -> None:
-        if least < 2:
-            raise ValueError("the table holds bigrams from a count of two on")
+        if least < 1:
+            raise ValueError("the table holds bigrams from a count of one on")
         spark = docs.sparkSession
         ship(spark)
         nb, parts = buckets(spark), partitions(spark)
@@ -265,14 +265,14 @@ class Model:
     def log10(self, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count of the token, log10 p(w | u)) for each token."""
         all_words, at = np.unique(np.concatenate([w, u]), return_inverse=True)
-        count, cont, kept, twos, threes = self.words.find(all_words, word_bucket(all_words, self.nw))
+        count, cont, kept, ones, twos, threes = self.words.find(all_words, word_bucket(all_words, self.nw))
         count_u = np.where(all_words == BEGIN, self.texts, count)
         aw, au = at[: len(w)], at[len(w) :]
         pair = pair_hash(w, u)
         one, first, back = np.unique(pair, return_index=True, return_inverse=True)
         c = self.pairs.find(one, pair_bucket(w[first], u[first], self.nb))[0][back]
         p1 = np.maximum(cont - self.d1[np.minimum(cont, 3)], 0) / max(1, self.types) + self.gamma1 / (self.vocabulary + 1)
-        mass = kept - self.d2[2] * twos - self.d2[3] * threes
+        mass = kept - self.d2[1] * ones - self.d2[2] * twos - self.d2[3] * threes
         gamma = np.where(count_u > 0, 1 - mass / np.maximum(1, count_u), 1.0)
         own = np.where(c > 0, c - self.d2[np.minimum(c, 3)], 0.0) / np.maximum(1, count_u[au])
         return count[aw], np.log10(own + gamma[au] * p1[aw])

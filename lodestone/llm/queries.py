@@ -36,7 +36,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_read(spark, sf_dir, "documents"))
+    return lm.score(_read(spark, sf_dir, "documents"), least=1)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,6 +174,33 @@ def test_lm(corpus, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_lm_keeps_bigrams_seen_once(spark, corpus, tmp_path):
+    """op7's model against full modified Kneser-Ney: every bigram counts, D1 acts on those seen once."""
+    from collections import Counter
+
+    from lodestone.llm import queries
+
+    corpus.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_lm_scoring(spark, str(tmp_path)).collect()
+    train = [low(t) + [None] for d, t, _ in CORPUS if zlib.crc32((str(d) if d is not None else "").encode()) % 7 != 2]
+    pair = Counter(p for w in train for p in zip([0, *w], w, strict=False))
+    cont, before, types = Counter(w for _, w in pair), Counter(), len(pair)
+    d2, d1 = (lm.discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]) for c in (pair, cont))
+    gamma1, spare = sum(d1[min(c, 3)] for c in cont.values()) / types, Counter()
+    for (u, _), c in pair.items():
+        before[u] += c
+        spare[u] += d2[min(c, 3)]
+
+    def p(w, u):
+        below = max(cont[w] - d1[min(cont[w], 3)], 0) / types + gamma1 / (len(cont) + 1)
+        return (max(pair[u, w] - d2[min(pair[u, w], 3)], 0) + spare[u] * below) / before[u] if before[u] else below
+
+    want = sorted((len(w), sum(np.log10(p(x, u)) for u, x in zip([0, *w], w, strict=False))) for w in (low(t) + [None] for _, t, _ in CORPUS))
+    assert np.allclose(sorted((r.n_tokens, r.score) for r in got), want)
+    for u in (0, "w1", "the"):
+        assert not before[u] or np.isclose(sum(p(w, u) for w in [*cont, "never seen"]), 1)
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(4)
     base = r.normal(size=(30, 16))
