@@ -71,6 +71,45 @@ def test_simhash_forms_agree(spark):
     assert a == b
 
 
+@pytest.fixture(scope="module")
+def orders_dir(spark, tmp_path_factory):
+    """Orders whose customers and parts meet when their keys are folded by 1,000; some rows repeat."""
+    import random
+
+    r, at = random.Random(4), tmp_path_factory.mktemp("orders")
+    keys = [1, 7, 30, 1001, 1007, 2001]
+    orders = [(i, r.choice(keys)) for i in range(40)]
+    items = [(i, r.choice([1, 1, 2, 30, 1001, 1002, 2001, 2002, 5001])) for i in range(40) for _ in range(3)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(at / "orders.parquet"))
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long").write.parquet(str(at / "lineitem.parquet"))
+    who = dict(orders)
+    return str(at), {(2 * who[i], 2 * p + 1) for i, p in items}
+
+
+def test_graphs_on_whole_ids(spark, orders_dir):
+    """Against brute force: no two customers or parts become one node."""
+    from collections import Counter
+    from itertools import combinations
+    from math import sqrt
+
+    d, edges = orders_dir
+    got = lambda name: sorted(map(tuple, Q.QUERIES[name](spark, d).collect()))
+    out, into = Counter(s for s, _ in edges), Counter(t for _, t in edges)
+    nodes = sorted({*out, *into})
+    assert got("graph_whole_degrees") == [(x, out[x], into[x]) for x in nodes]
+    assert got("graph_whole_symmetric") == sorted({*edges, *((t, s) for s, t in edges)})
+    of = {t: {s for s, x in edges if x == t} for t in into}
+    pairs = [(a, b, len(of[a] & of[b])) for a, b in combinations(sorted(of), 2) if of[a] & of[b]]
+    want = [(a, b, c, round(c / len(of[a] | of[b]), 6)) for a, b, c in pairs if min(into[a], into[b]) >= 4 and max(into[a], into[b]) <= 9 * min(into[a], into[b])]
+    assert want and got("graph_whole_jaccard") == [x for x in want if x[3] >= 0.1]
+    assert got("graph_whole_similarity") == [(a, b, round(c / sqrt(into[a] * into[b]), 6)) for a, b, c in pairs if c / sqrt(into[a] * into[b]) >= 0.1]
+    name = {}
+    for x in nodes:
+        r, k = sum(t == x and s < 40 for s, t in edges), sum(s == x and t < 40 for s, t in edges)
+        name[x] = "core" if x < 40 else "reachable_hot" if r >= 5 else "reachable" if r else "linking_hot" if k >= 5 else "linking" if k else "unreachable"
+    assert got("graph_whole_connectivity") == sorted(name.items())
+
+
 def test_stream_changes(spark, tmp_path):
     from lodestone import streaming as S
 
