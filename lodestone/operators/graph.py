@@ -45,28 +45,31 @@ def jaccard(edges: DataFrame, least: float = 0.1, least_size: int = 4, most_rati
     return both.select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("value")).where(F.col("value") >= least)
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-4, start: DataFrame | None = None, fixed: int | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-4, start: DataFrame | None = None, fixed: int | None = None, relative: bool = False) -> DataFrame:
     """(node, score). Dangling mass is spread over all nodes, or over ``start`` (node) with the teleport.
 
-    Edges are dealt by source once and kept; every fifth iteration the scores are checkpointed to the shared folder.
+    Until no score changes by ``tolerance``, or if ``relative`` by that share of the mean score 1 / n, which holds for
+    graphs of any size. Edges are dealt by source once and kept; each iteration's plan starts from the scores before it,
+    every fifth from a checkpoint in the shared folder where there is one.
     """
     spark = edges.sparkSession
     out = edges.groupBy("src").agg(F.count("*").alias("n_out"))
     links = edges.join(out, "src").repartition("src").cache()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().cache()
-    n = nodes.count()
+    n = max(1, nodes.count())
     to = (start if start is not None else nodes).select("node").withColumn("t", F.lit(1.0 / (start.count() if start is not None else n)))
     base = nodes.join(to, "node", "left").join(out.withColumnRenamed("src", "node").select("node", F.lit(1).alias("links")), "node", "left").select("node", F.coalesce("t", F.lit(0.0)).alias("t"), F.col("links").isNull().alias("dangling")).cache()
     score = base.select("node", F.lit(1.0 / n).alias("score"))
-    keep = bool(spark.conf.get("spark.checkpoint.dir", None))
+    keep = spark.sparkContext.getCheckpointDir() is not None
+    enough = tolerance / n if relative else tolerance
     for i in range(fixed or most):
         sent = links.join(score, links.src == score.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("n_out")).alias("got"))
         lost = score.join(base.where("dangling"), "node").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         new = base.join(sent, "node", "left").join(F.broadcast(lost)).select("node", ((1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("t"))).alias("score"))
         if not fixed:
-            new = new.checkpoint() if keep and i % 5 == 4 else new.cache()
+            new = new.checkpoint() if keep and i % 5 == 4 else new.localCheckpoint()
             change = new.toDF("node", "new").join(score, "node").agg(F.max(F.abs(F.col("new") - F.col("score")))).first()[0]
-            if change is not None and change < tolerance:
+            if change is None or change < enough:
                 return new
         score = new
     return score

@@ -324,6 +324,11 @@ def graph_whole_symmetric(spark, d):
     return graph.symmetric(whole_edges(spark, d)).toDF("a", "b")
 
 
+@query(None)
+def graph_whole_pagerank(spark, d):
+    return graph.pagerank(whole_edges(spark, d), relative=True)
+
+
 # ---- sets -----------------------------------------------------------------------------------------------------
 
 

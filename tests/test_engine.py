@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone import more_queries  # noqa: F401  registers its queries
 from lodestone import queries as Q
 from lodestone.functions import ids, urls
-from lodestone.operators import index, relations, search
+from lodestone.operators import graph, index, relations, search
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -110,6 +110,33 @@ def test_graphs_on_whole_ids(spark, orders_dir):
     assert got("graph_whole_connectivity") == sorted(name.items())
 
 
+def test_whole_pagerank_converges(spark, orders_dir):
+    """Against brute force run to its fixed point, on the query's graph and on one with cycles; three rounds are too few."""
+    d, edges = orders_dir
+
+    def ranks(edges, rounds):
+        nodes = sorted({x for e in edges for x in e})
+        out, n = {x: [t for s, t in edges if s == x] for x in nodes}, len(nodes)
+        score = dict.fromkeys(nodes, 1 / n)
+        for _ in range(rounds):
+            new = dict.fromkeys(nodes, 0.15 / n + 0.85 * sum(score[x] for x in nodes if not out[x]) / n)
+            for x in nodes:
+                for t in out[x]:
+                    new[t] += 0.85 * score[x] / len(out[x])
+            score = new
+        return score
+
+    def off(got, want):
+        assert got.keys() == want.keys()
+        return max(abs(got[x] - want[x]) for x in want) * len(want)
+
+    got = dict(map(tuple, Q.QUERIES["graph_whole_pagerank"](spark, d).collect()))
+    assert off(got, ranks(edges, 300)) < 1e-3 and abs(sum(got.values()) - 1) < 1e-6
+    ring = {(i, (i + 1) % 12) for i in range(12)} | {(0, 5), (3, 0), (7, 12), (2, 0)}
+    frame = spark.createDataFrame(sorted(ring), "src long, dst long")
+    assert off(dict(map(tuple, graph.pagerank(frame, relative=True).collect())), ranks(ring, 300)) < 1e-3 < off(ranks(ring, 3), ranks(ring, 300))
+
+
 def test_stream_changes(spark, tmp_path):
     from lodestone import streaming as S
 
