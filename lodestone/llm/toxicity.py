@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, ship
-from .words import distinct, doc_of, hash_words, hashed, text_chunks
+from .words import distinct, doc_of, hash_blocks, text_chunks
 
 BITS = 20
 SAMPLE = 20_000
@@ -39,10 +39,13 @@ def terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, woff = split_words(low, offs)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for _ in range(3):  # punctuation around a word
-        start = start + ((end - start > 1) & ~_ALNUM[low[start]])
-        end = end - ((end - start > 1) & ~_ALNUM[low[end - 1]])
-    h = hash_words(low, start, end) if len(low) <= 1 << 21 else hashed(low, offs, False)[0]
+    # punctuation around a word; of a word of nothing else its middle mark stays
+    at = np.flatnonzero(_ALNUM[low])
+    first, after = np.searchsorted(at, start), np.searchsorted(at, end)
+    some, middle = first < after, start + (end - start) // 2
+    at = np.append(at, 0)
+    start, end = np.where(some, at[np.where(some, first, 0)], middle), np.where(some, at[np.where(some, after - 1, 0)], middle) + 1
+    h = hash_blocks(low, start, end)
     g, d = distinct(h >> np.uint64(64 - BITS), doc_of(woff))
     return g.astype(np.int64), d
 

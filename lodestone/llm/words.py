@@ -69,10 +69,15 @@ def hashed(buf: np.ndarray, offs: np.ndarray, lower: bool, block: int = 1 << 20)
     if lower:
         buf = _LOWER[buf]
     start, end, woff = split_words(buf, offs)
+    return hash_blocks(buf, start, end, block), start, end, woff
+
+
+def hash_blocks(buf: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """hash_words(), in blocks cut between words where the buffer is long."""
     if len(buf) <= 2 * block:
-        return hash_words(buf, start, end), start, end, woff
+        return hash_words(buf, start, end)
     cuts = np.unique(np.searchsorted(start, np.arange(0, len(buf) + block, block)))
-    return np.concatenate([hash_words(buf, start[i:j], end[i:j]) for i, j in zip(cuts, [*cuts[1:], len(start)], strict=True)]), start, end, woff
+    return np.concatenate([hash_words(buf, start[i:j], end[i:j]) for i, j in zip(cuts, [*cuts[1:], len(start)], strict=True)])
 
 
 def text_chunks(batch: pa.RecordBatch, name: str = "text", limit: int = 1 << 20):

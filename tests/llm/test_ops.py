@@ -286,6 +286,19 @@ def test_quality_and_toxicity(spark):
     assert toxicity.score(docs, lab.limit(0)).count() == len(rows) == quality.score(docs, lab.limit(0)).count()
 
 
+def test_toxicity_terms_of_long_texts():
+    """A text over 2 MiB has the terms of its parts, and any number of marks around a word goes."""
+    def of(text):
+        b = np.frombuffer(text.encode(), np.uint8)
+        return set(toxicity.terms(b, np.array([0, len(b)]))[0].tolist())
+
+    r = random.Random(9)
+    parts = [" ".join(f"{'#' * r.randrange(6)}W{r.randrange(3000)}{'!' * r.randrange(9)}" for _ in range(20_000)) for _ in range(14)]
+    assert sum(map(len, parts)) > 2 << 20
+    assert of(" ".join(parts)) == set().union(*map(of, parts)) == of(" ".join(f"w{i}" for i in range(3000)))
+    assert of("(((((Idiot.&&&&&&") == of("idiot") and len(of("&")) == len(of("&&&&&&&&&")) == 1 and of("&" * 9) == of("&") and of("") == set()
+
+
 def test_machine_learns_pairs():
     """Two terms each harmless, toxic together: no additive score tells them apart."""
     r = np.random.default_rng(1)
