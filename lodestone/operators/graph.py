@@ -87,6 +87,23 @@ def connectivity(edges: DataFrame, core: DataFrame, hot: int = 5) -> DataFrame:
     return rows.select("node", name.alias("class"))
 
 
+def classes(edges: DataFrame) -> DataFrame:
+    """(node, class) for every node of the undirected edges; class is its smallest node.
+
+    Each round a node takes the least label around it, then that label's own; rounds go on until none changes.
+    """
+    both = symmetric(edges).localCheckpoint()
+    label = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("class"))
+    while True:
+        label = label.localCheckpoint()
+        around = both.join(label.toDF("dst", "class"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("class").alias("m"))
+        near = label.join(around, "node").select("node", F.col("class").alias("old"), F.least("class", "m").alias("to"))
+        new = near.join(label.toDF("to", "jump"), "to").select("node", "old", F.least("to", "jump").alias("class")).localCheckpoint()
+        label = new.select("node", "class")
+        if not new.where("old <> class").limit(1).count():
+            return label
+
+
 def scale_rank(rank) -> F.Column:
     """A rank place as 1 to 255; without a rank 255."""
     return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(255), F.floor(rank * 255 / 50000))), F.lit(255)).cast("long")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import ids
 from ..functions import text as tx
 
 
@@ -28,6 +31,22 @@ def simhash_of_votes() -> Column:
     return F.aggregate(F.array(*(F.when(F.col(f"v{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
+def close_hashes(hashes: DataFrame, most: int = 3) -> DataFrame:
+    """(a, b), a < b, for all pairs of distinct 64-bit hashes (h) that differ in at most ``most`` bits.
+
+    Of 2 * most blocks of bits, such a pair differs in ``most`` at most, so that ``most`` others are equal: candidates
+    share one of the choices of that many blocks, about half of the bits.
+    """
+    n = max(2, 2 * most)
+    cuts = [64 * i // n for i in range(n + 1)]
+    masks = [sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in c) for c in combinations(range(n), n - most)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*(F.struct(F.lit(i).alias("i"), F.col("h").bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(masks)))
+    e = hashes.where("h is not null").distinct().select("h", F.explode(keys).alias("k")).select("k.i", "k.v", "h")
+    both = e.withColumnRenamed("h", "a").join(e.withColumnRenamed("h", "b"), ["i", "v"])
+    return both.where((F.col("a") < F.col("b")) & (ids.hamming(F.col("a"), F.col("b")) <= most)).select("a", "b").distinct()
+
+
 def floor_lookup(rows: DataFrame, key: str, ranges: DataFrame, start: str, value: str, salt: int = 16) -> DataFrame:
     """rows with the value of the greatest range start that isn't above their key, by one sorted pass of the union.
 

@@ -193,7 +193,13 @@ def distinct_content(spark, d):
 def near_copies_simhash(spark, d):
     words = docs(spark, d).select("doc_id", tx.tokens(F.col("text")).alias("words"))
     grams = words.select("doc_id", F.explode_outer(tx.rolling_hash(F.col("words"), 2)).alias("h"))
-    return grams.groupBy("doc_id").agg(*relations.simhash_votes("h")).select("doc_id", relations.simhash_of_votes().alias("simhash"))
+    own = grams.groupBy("doc_id").agg(*relations.simhash_votes("h"))
+    # a document of fewer than two words has no shingle to compare, and is a class of its own
+    hashes = own.select("doc_id", relations.simhash_of_votes().alias("simhash"), F.when(F.col("v0").isNotNull(), relations.simhash_of_votes()).alias("h")).cache()
+    links = relations.close_hashes(hashes.select("h"), 3).toDF("src", "dst")
+    of = hashes.join(graph.classes(links).toDF("h", "c"), "h", "left").withColumn("c", F.coalesce("c", "h"))
+    least = of.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
+    return of.join(least, "c", "left").select("doc_id", "simhash", F.coalesce("least", "doc_id").alias("class_id"))
 
 
 # ---- pages and URLs -------------------------------------------------------------------------------------------

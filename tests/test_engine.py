@@ -137,6 +137,30 @@ def test_whole_pagerank_converges(spark, orders_dir):
     assert off(dict(map(tuple, graph.pagerank(frame, relative=True).collect())), ranks(ring, 300)) < 1e-3 < off(ranks(ring, 3), ranks(ring, 300))
 
 
+def test_near_copies_find_classes(spark, tmp_path):
+    """Classes of the query against brute force over all pairs, and close hashes at chosen distances."""
+    import random
+
+    r = random.Random(6)
+    base = [[f"w{r.randrange(900)}" for _ in range(400)] for _ in range(6)]
+    texts = [" ".join(w[:i] + [f"n{i}"] + w[i + 1 :]) for w in base for i in (3, 50, 120, 200, 280)] + [" ".join(base[0])] * 2 + ["", "one", "two", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in Q.near_copies_simhash(spark, str(tmp_path)).collect()}
+    few, root = len(texts) - 4, list(range(len(texts)))
+    for _ in texts:
+        for a in range(few):
+            for b in range(few):
+                if ((got[a].simhash ^ got[b].simhash) & (1 << 64) - 1).bit_count() <= 3:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert len(got) == len(texts) and [got[i].class_id for i in range(len(texts))] == root
+    assert root[few - 1] == root[few - 2] and len(set(root[:few])) < few - 1
+    one = [r.getrandbits(64) for _ in range(20)]
+    many = {h ^ sum(1 << i for i in r.sample(range(64), k)) for h in one for k in (0, 1, 2, 3, 3, 3, 4, 4, 5)}
+    signed = sorted(h - (1 << 64) if h >> 63 else h for h in many)
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    assert set(map(tuple, relations.close_hashes(spark.createDataFrame([(h,) for h in signed], "h long")).collect())) == want
+
+
 def test_stream_changes(spark, tmp_path):
     from lodestone import streaming as S
 
