@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import SUB
+
 ROOT = str(Path(__file__).resolve().parents[2])
 _written: list[tuple[SparkSession, str]] = []
 
@@ -77,8 +79,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def buckets(spark: SparkSession) -> int:
-    """Hash buckets for packed shuffles: several to a partition, so that partitions come out even."""
-    return 8 * partitions(spark)
+    """Hash buckets for packed shuffles: SUB to a partition, so that a reducer need only unpack a part at a time."""
+    return SUB * partitions(spark)
 
 
 # ---- thresholds -----------------------------------------------------------------------------------------------

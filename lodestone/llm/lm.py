@@ -172,11 +172,12 @@ class Files:
 
 WORD_FILE = ["u8", "u8", "u4", "u8", "u4", "u4", "u4"]
 PAIR_FILE = ["u8", "u4"]
-MADE = "bucket int, n int, blob binary, kind string, file string, stats array<long>"
+MADE = "part int, n int, blob binary, bucket int, kind string, file string, stats array<long>"
 
 
 def _made(bucket: int, kind: str, file: str | None, stats) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([None], pa.int32()), pa.array([None], pa.binary()), pa.array([kind]), pa.array([file], pa.string()), pa.array([list(map(int, stats))], pa.list_(pa.int64()))], ["bucket", "n", "blob", "kind", "file", "stats"])
+    none = [pa.array([None], t) for t in (pa.int32(), pa.int32(), pa.binary())]
+    return pa.RecordBatch.from_arrays([*none, pa.array([bucket], pa.int32()), pa.array([kind]), pa.array([file], pa.string()), pa.array([list(map(int, stats))], pa.list_(pa.int64()))], ["part", "n", "blob", "bucket", "kind", "file", "stats"])
 
 
 def _counts_of_counts(c: np.ndarray) -> list[int]:
@@ -206,7 +207,7 @@ def build_pairs(packed: DataFrame, top: str, least: int, nw: int) -> DataFrame:
 
     def _wide(b):
         n = b.num_rows
-        return pa.RecordBatch.from_arrays([*b.columns, pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int64()))], ["bucket", "n", "blob", "kind", "file", "stats"])
+        return pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(n, t) for t in (pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64())))], ["part", "n", "blob", "bucket", "kind", "file", "stats"])
 
     return packed.mapInArrow(run, MADE)
 
@@ -240,10 +241,10 @@ class Model:
         spark = docs.sparkSession
         ship(spark)
         nb, parts = buckets(spark), partitions(spark)
-        self.nb, self.nw, self.least = nb, 2 * parts, least  # fewer for words: reducers send a row to each
+        self.nb, self.nw, self.least = nb, nb, least
         top = new_path(spark, "model")
         made = Table(build_pairs(deal(count_pairs(docs, nb), parts), f"{top}/pairs", least, self.nw), "pairs")
-        words = Table(build_words(deal(made.df.where("blob is not null").select("bucket", "n", "blob"), parts), f"{top}/words"), "words")
+        words = Table(build_words(deal(made.df.where("blob is not null").select("part", "n", "blob"), parts), f"{top}/words"), "words")
         p = made.df.where("blob is null").select("bucket", "file", "stats").collect()  # a row a bucket
         w = words.df.select("bucket", "file", "stats").collect()
         made.drop()

@@ -116,12 +116,12 @@ def pieces(key1, key2, pos, cut) -> list[np.ndarray]:
     return [key1[start].view(np.int64), key2[start].view(np.int64), pos[start].astype(np.int32), n.astype(np.int32)]
 
 
-SPAN = "bucket int, n int, blob binary, key1 long, key2 long, start int, len int"
+SPAN = "part int, n int, blob binary, key1 long, key2 long, start int, len int"
 
 
 def _spans(cols) -> pa.RecordBatch:
     n = len(cols[0])
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *map(pa.array, cols)], ["bucket", "n", "blob", "key1", "key2", "start", "len"])
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *map(pa.array, cols)], ["part", "n", "blob", "key1", "key2", "start", "len"])
 
 
 def edges(docs: DataFrame, k: int, filled, n_buckets: int) -> DataFrame:
@@ -145,7 +145,7 @@ def edges(docs: DataFrame, k: int, filled, n_buckets: int) -> DataFrame:
             out.add((a[start] % U(n_buckets)).astype(np.int32), e1[start], e2[start], k1[start], k2[start], pos[start], b, f, n > 1)
             for batch in out.rows_out():
                 m = batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["bucket", "n", "blob", "key1", "key2", "start", "len"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["part", "n", "blob", "key1", "key2", "start", "len"])
 
         for batch in batches:
             keys = batch.column(1)
@@ -221,8 +221,8 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     twice.drop()
     graph = edges(keyed(docs), k, filled, nb)
     graph = Table(graph, "edges")
-    own = graph.df.where("bucket is null").select("key1", "key2", "start", "len")
-    shared = repeated_pieces(deal(graph.df.where("bucket is not null").select("bucket", "n", "blob"), parts))
+    own = graph.df.where("part is null").select("key1", "key2", "start", "len")
+    shared = repeated_pieces(deal(graph.df.where("part is not null").select("part", "n", "blob"), parts))
     out = Table(join_pieces(own.union(shared)), "spans")
     graph.drop()
     return out.df

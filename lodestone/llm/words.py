@@ -158,14 +158,19 @@ def distinct(g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[new], d[new]
 
 
+SUB = 8  # hash buckets to a packed row: a reducer unpacks one at a time
+
+
 class Packed:
-    """Rows for a shuffle by hash bucket, packed by task: (bucket int, n int, blob binary), one row per bucket and flush.
+    """Rows for a shuffle by hash bucket, packed by task: (part int, n int, blob binary), one row a reducer and flush.
 
-    A blob holds the named columns one after the other, compressed. Row counts depend on tasks and buckets alone, so a
-    frequent key makes a blob longer and never a row or partition of its own.
+    A row holds SUB neighbouring buckets: counts and sizes first, then for each bucket its columns one after the other,
+    compressed. Row counts depend on tasks and reducers alone, as Spark's own shuffle blocks do, so that a frequent key
+    makes a blob longer and never a row or partition of its own.
     """
 
-    SCHEMA = "bucket int, n int, blob binary"
+    SCHEMA = "part int, n int, blob binary"
+    NAMES = ["part", "n", "blob"]
 
     def __init__(self, dtypes: list[str], n_buckets: int, flush: int = 400_000) -> None:
         self.dtypes, self.n_buckets, self.flush_at = [np.dtype(x) for x in dtypes], n_buckets, flush
@@ -187,40 +192,47 @@ class Packed:
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         cols = [c[order] for c in cols]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        cut = np.searchsorted(bucket, np.arange(self.n_buckets + 1))
         codec = pa.Codec("zstd", 1)
         ids, ns, blobs = [], [], []
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            ids.append(int(bucket[i]))
-            ns.append(int(j - i))
-            blobs.append(codec.compress(b"".join(c[i:j].tobytes() for c in cols), asbytes=True))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(ns, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "n", "blob"])
-
-    @staticmethod
-    def unpack(n: int, blob: bytes, dtypes: list[str]) -> list[np.ndarray]:
-        types = [np.dtype(x) for x in dtypes]
-        raw = pa.Codec("zstd").decompress(blob, n * sum(t.itemsize for t in types), asbytes=True)
-        out, at = [], 0
-        for t in types:
-            out.append(np.frombuffer(raw, t, n, at))
-            at += n * t.itemsize
-        return out
+        for part in np.unique(bucket // SUB):
+            at = cut[part * SUB : part * SUB + SUB + 1]
+            packs = [codec.compress(b"".join(c[i:j].tobytes() for c in cols), asbytes=True) if j > i else b"" for i, j in zip(at[:-1], at[1:], strict=True)]
+            head = np.concatenate([np.diff(at), [len(x) for x in packs]]).astype(np.uint32)
+            ids.append(int(part))
+            ns.append(int(at[-1] - at[0]))
+            blobs.append(head.tobytes() + b"".join(packs))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(ns, pa.int32()), pa.array(blobs, pa.binary())], self.NAMES)
+
+
+def unpack(n: int, blob: memoryview, types: list[np.dtype]) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(blob, n * sum(t.itemsize for t in types), asbytes=True)
+    out, at = [], 0
+    for t in types:
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * t.itemsize
+    return out
 
 
 def by_bucket(batches, dtypes: list[str]):
-    """(bucket, columns) for each bucket of batches that are sorted by bucket; holds one bucket at a time."""
-    at, held = None, []
+    """(bucket, columns) for each bucket of the packed rows of a partition: all stay packed but the bucket at hand."""
+    types = [np.dtype(x) for x in dtypes]
+    held: dict[int, list[list]] = {}
     for batch in batches:
-        for b, n, blob in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("bucket", "n", "blob")), strict=True):
-            if b != at and held:
-                yield at, [np.concatenate(x) for x in zip(*held, strict=True)]
-                held = []
-            at = b
-            held.append(Packed.unpack(n, blob, dtypes))
-    if held:
-        yield at, [np.concatenate(x) for x in zip(*held, strict=True)]
+        for part, blob in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("part", "blob")), strict=True):
+            head = np.frombuffer(blob, np.uint32, 2 * SUB).astype(np.int64)
+            held.setdefault(part, [[] for _ in range(SUB)])
+            at = 8 * SUB
+            for own, n, size in zip(held[part], head[:SUB].tolist(), head[SUB:].tolist(), strict=True):
+                if n:
+                    own.append((n, memoryview(blob)[at : at + size]))
+                at += size
+    for part in sorted(held):
+        for sub, own in enumerate(held.pop(part)):
+            if own:
+                yield part * SUB + sub, [np.concatenate(x) for x in zip(*(unpack(n, blob, types) for n, blob in own), strict=True)]
 
 
 def deal(df, n: int):
-    """Packed rows dealt by bucket and sorted by it, for by_bucket()."""
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket")
+    """Packed rows dealt to the reducers they name, for by_bucket()."""
+    return df.repartitionById(n, "part")
