@@ -3,8 +3,8 @@
 1. Documents with equal shingle sets form a class; a class is compared once, whatever its number of copies.
 2. Shingles are ordered rarest first by a fixed-size count sketch of the whole corpus, then by hash. A set of n
    shingles links only with sets that share one of its first n - ceil(t n) + 1 in this order.
-3. Prefix shingles are dealt by hash. A shingle's group first proposes stars, chains and rings (linear in the group);
-   these are verified and united. Then each member proposes its nearest few in other components; what is left after
+3. Prefix shingles are dealt by hash. A shingle's group of up to SMALL_GROUP proposes all its pairs, a larger one first
+   stars, chains and rings (linear in the group); these are verified and united. Then, in larger groups, each member proposes its nearest few in other components; what is left after
    that, all pairs of a group that still lie in different components and pass the filters, is proposed in full, each
    pair in the first group that both share, so that no link between components is lost, no pair is proposed twice and
    no group is squared for links that are known already. Groups of more than a tile are dealt out by pairs of tiles.
@@ -38,7 +38,7 @@ CHUNK = 1 << 18  # bytes of text hashed at a time
 DTYPES = ["u8", "u8", "u4", "u4"]
 SMALL_GROUP = 16  # larger groups propose rings and nearest members for an eighth of their shingles; all pairs for each
 NEAREST = 4  # proposals a member and group before those in full
-HEAD = 32  # first shared shingles of a class, by which a pair's first common one is told
+HEAD = 16  # first shared shingles of a class, by which a pair's first common one is told
 TILE = 4096
 
 
@@ -167,7 +167,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, rank, n_buckets: int) -> Dat
 
 
 def groups(packed: DataFrame, percent: int) -> DataFrame:
-    """kind 0: (key, a: class, n, pos) of shingles that several classes have; kind 1: proposed pairs (a, b)."""
+    """kind 0: (key, a: class, n, pos) of shingles that more than SMALL_GROUP classes have; kind 1: proposed pairs (a, b)."""
 
     def run(batches):
         names = ["kind", "key", "a", "b", "n", "pos"]
@@ -179,27 +179,31 @@ def groups(packed: DataFrame, percent: int) -> DataFrame:
             key, cls, n, pos = key[new], cls[new], n[new], pos[new]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.concatenate([start, [len(key)]]))
-            many = np.repeat(size > 1, size)
-            if not many.any():
+            if size.max() == 1:
                 continue
             gid = np.repeat(np.arange(len(size)), size)
+            big = size[gid] > SMALL_GROUP
             # the first of the group that is long enough to link: groups are sorted by n
             at = np.arange(len(key))
             wide = gid * (1 << 40)
             least = -(-n * percent // 100)
             mate = np.searchsorted(wide + n, wide + least, "left")
-            pairs = [_near(key, cls, n, pos, m, at, percent) for m in (np.maximum(mate, start[gid]), np.maximum(at - 1, start[gid]))]
+            pairs = [_near(key, cls, n, pos, np.maximum(mate, start[gid])[big], at[big], percent)]
+            for lag in range(1, SMALL_GROUP):  # small groups whole, of larger ones neighbours
+                keep = (at - lag >= start[gid]) & (~big | (lag == 1))
+                pairs.append(_near(key, cls, n, pos, at[keep] - lag, at[keep], percent))
             # a ring in an order of the group's own, so that members that share many shingles meet many others
             ring = np.lexsort((mix(cls ^ mix(key)), gid))
             after = np.where(np.arange(len(ring)) + 1 == (start + size)[gid], start[gid], np.arange(len(ring)) + 1)
             i, j = ring, ring[after]
-            meet = (size[gid] <= SMALL_GROUP) | (mix(key) >> np.uint64(61) == 0)
+            meet = big & (mix(key) >> np.uint64(61) == 0)
             i, j = i[meet], j[meet]
             pairs.append(_near(key, cls, n, pos * 0, np.minimum(i, j), np.maximum(i, j), percent))  # whichever shingle they meet at
             pair = np.unique(np.concatenate(pairs), axis=0)
-            e = np.flatnonzero(many)
+            e = np.flatnonzero(big)
             zeros = lambda m: pa.array(np.zeros(m, np.int32))
-            yield pa.RecordBatch.from_arrays([zeros(len(e)), pa.array(key[e].view(np.int64)), pa.array(cls[e].view(np.int64)), pa.nulls(len(e), pa.int64()), pa.array(n[e].astype(np.int32)), pa.array(pos[e].astype(np.int32))], names)
+            if len(e):
+                yield pa.RecordBatch.from_arrays([zeros(len(e)), pa.array(key[e].view(np.int64)), pa.array(cls[e].view(np.int64)), pa.nulls(len(e), pa.int64()), pa.array(n[e].astype(np.int32)), pa.array(pos[e].astype(np.int32))], names)
             m = len(pair)
             if m:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), zeros(m), zeros(m)], names)
@@ -378,7 +382,7 @@ def apart_pairs(packed: DataFrame, percent: int, nearest: int, tile: int = 512)
             start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]))
             found = []
             for x, y in zip(start, [*start[1:], len(key)], strict=True):
-                if nearest and y - x > SMALL_GROUP and mix(key[x : x + 1])[0] >> np.uint64(61):
+                if nearest and mix(key[x : x + 1])[0] >> np.uint64(61):
                     continue
                 same = pair[x] // 65536 == pair[x] % 65536
                 for u, v in one_group(int(key[x]), n[x:y], pos[x:y], c[x:y], sketch[x:y], None if same else t[x:y], head[x:y]):
