@@ -2,11 +2,12 @@
 
 Two generative models over the same hashed n-grams - bytes in threes, words and word pairs as written, and which of
 the last words a word repeats - are counted: one of the target (documents labelled good), one of the raw text (every
-document, whose shares are also the target's prior). A document's log weight is the mean over its
-n-grams of log target / raw, times 100, so that its length doesn't decide. With Gumbel noise on the weights,
-the k greatest are a sample without replacement in proportion to them. k is how many documents of the corpus weigh
-more than the level that best parts labelled good from labelled bad, among labelled rows that the target model hasn't
-counted.
+document, whose shares are also the target's prior). A document's log weight is the sum over its n-grams of
+log target / raw; n-grams of one document aren't independent, so that a document of more than EFFECTIVE of them counts
+as that many. With standard Gumbel noise on the log weights, the k greatest are a sample without replacement in
+proportion to the weights; another seed draws another sample. k is an argument; without it, it is how many documents of
+the corpus weigh more than the level that best parts labelled good from labelled bad, among labelled rows that the
+target model hasn't counted.
 
 Only the labelled rows are bounded (``sample``, least hash of doc_id first); counts, weights and k cover all rows.
 
@@ -31,7 +32,7 @@ VIEWS = {"bytes": 16, "words": 16, "pairs": 16, "repeats": 8}
 SIZE = sum(1 << b for b in VIEWS.values())
 PRIOR = 16  # counts a bucket that the raw text's shares are worth as the target's prior
 SAMPLE = 20_000
-NOISE = 0.1
+EFFECTIVE = 3000
 SEED = 11
 
 
@@ -108,12 +109,12 @@ def log_ratio(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def weigh(docs: DataFrame, ratio, others: list[str]) -> DataFrame:
+def weigh(docs: DataFrame, ratio, others: list[str], seed: int = SEED) -> DataFrame:
     """others and (log_weight, noisy) for each row."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(ratio)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id"), F.lit(-1))), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    noise = -F.log(-F.log(u)) * NOISE
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1))), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    noise = -F.log(-F.log(u))
     rows = docs.select(*others, *([] if "text" in others else ["text"]), noise.alias(fresh("_noise", docs.columns)))
     made = [fresh("_log_weight", others), fresh("_noisy", others)]
     at = rows.columns.index("text")
@@ -124,7 +125,8 @@ def weigh(docs: DataFrame, ratio, others: list[str]) -> DataFrame:
             w = np.zeros(batch.num_rows)
             for i, j, buf, offs in text_chunks(batch):
                 ids, d = features(buf, offs)
-                w[i:j] = 100 * np.bincount(d, held.value[ids], minlength=j - i) / np.maximum(1, np.bincount(d, minlength=j - i))
+                n = np.maximum(1, np.bincount(d, minlength=j - i))
+                w[i:j] = np.bincount(d, held.value[ids], minlength=j - i) * np.minimum(1, EFFECTIVE / n)
             cols = [c for i, c in enumerate(batch.columns[:-1]) if not (drop and i == at)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(w), pa.array(w + batch.column(batch.num_columns - 1).to_numpy())], [*others, *made])
 
@@ -136,7 +138,7 @@ def level(weights: DataFrame, known: dict) -> float:
     """The log weight that best parts good from bad among the labelled, halfway in the widest best gap."""
     spark = weights.sparkSession
     ids = spark.createDataFrame([(int(i), int(q)) for i, q in known.items()], "doc_id long, quality int")
-    rows = weights.join(F.broadcast(ids), "doc_id").select("_log_weight", "quality").collect()  # as many as are labelled
+    rows = weights.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.avg("_log_weight"), F.max("quality")).select("avg(_log_weight)", "max(quality)").collect()  # as many as ids are labelled
     w, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     if not len(w) or q.min() == q.max():
         return 0.0
@@ -152,25 +154,25 @@ def level(weights: DataFrame, known: dict) -> float:
 
 
 class Model:
-    def __init__(self, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> None:
+    def __init__(self, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int | None = None, seed: int = SEED) -> None:
         ship(docs.sparkSession)
         known = {r.doc_id: r.quality for r in labelled(labels, sample).collect()}
         counted = {i for i, q in known.items() if q == 1 and crc32(b"%d" % i) >> 8 & 1}
         self.ratio = log_ratio(count_models(docs, counted))
-        self.weights = Table(weigh(docs, self.ratio, ["doc_id"]), "weights").df
+        self.weights = Table(weigh(docs, self.ratio, ["doc_id"], seed), "weights").df
         self.level = level(self.weights, {i: q for i, q in known.items() if i not in counted})
-        self.k = self.weights.where(F.col("_log_weight") > self.level).count()
+        self.k = self.weights.where(F.col("_log_weight") > self.level).count() if k is None else k
         self.cut, _ = kth_largest(self.weights, "_noisy", self.k)
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, held_out, log_weight, noisy, selected) for each row of docs (doc_id, text)."""
-    m = Model(docs, labels, sample)
+    m = Model(docs, labels, sample, k, seed)
     held_out = crc_mod("doc_id", 3) == 1
     return m.weights.select("doc_id", held_out.alias("held_out"), F.col("_log_weight").alias("log_weight"), F.col("_noisy").alias("noisy"), (F.col("_noisy") >= F.lit(m.cut)).alias("selected"))
 
 
-def select(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int | None = None, seed: int = SEED) -> DataFrame:
     """The rows of docs, with all their columns, that are sampled."""
-    m = Model(docs, labels, sample)
-    return weigh(docs, m.ratio, docs.columns).where(F.col(fresh("_noisy", docs.columns)) >= F.lit(m.cut)).select(*docs.columns)
+    m = Model(docs, labels, sample, k, seed)
+    return weigh(docs, m.ratio, docs.columns, seed).where(F.col(fresh("_noisy", docs.columns)) >= F.lit(m.cut)).select(*docs.columns)
