@@ -2,14 +2,15 @@
 
 Each source's documents stand in a shuffled queue that is served up to ``epochs`` times. A served document finishes
 at the virtual time (words its source has served so far) / (its source's target); the mix is all documents in order of
-finish, cut where their words reach the budget. Targets share the budget by weight, none above ``epochs`` times what
+finish, cut where their words reach the budget: they are sorted globally by range of finish time, the words of whole
+ranges are summed, and the range in which the budget is reached is cut within. Targets share the budget by weight, none above ``epochs`` times what
 its source has.
 
 Running sums never need a source in one task: a source's queue is cut into slices of the shuffle key, slices are
 summed, and each slice starts from the sum of those before it.
 
 Defined cases: a null text has no words and takes nothing; a null source is a source of its own, ordered last; rows
-that repeat a doc_id are queued each by itself; a null doc_id is queued as any other; an empty table gives no rows;
+that repeat a doc_id are queued each by itself; rows without a doc_id are shuffled by their text; an empty table gives no rows;
 other columns, whatever they are called, are left out. The cut drops all documents that finish at the very time at
 which the budget would be passed.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Table
+from .common import Table, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_ROWS = 256
@@ -44,46 +45,33 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epochs: in
     return total.select("source", "sid", "n", F.col("s").alias("source_size"), F.least(cap.cast("double"), F.col("w") * F.coalesce(fits, F.lit(0.0))).alias("target"))
 
 
-def last_finish(entries: DataFrame, budget: float, fit: int = 20_000) -> float:
+def last_finish(entries: DataFrame, budget: float) -> float:
     """The largest finish time up to which the words of (finish, size) stay within the budget (-inf: none)."""
-    low, high, n, words = entries.agg(F.min("finish"), F.max("finish"), F.count("*"), F.sum("size")).first()
-    if not n:
-        return float("-inf")
-    if words <= budget:
-        return float("inf")
-    best, base = float("-inf"), 0
-    while n > fit:
-        wide = (high - low) / 1024
-        if not wide or low + wide == low:
-            break
-        inside = entries.where((F.col("finish") >= low) & (F.col("finish") <= high))
-        bins = inside.groupBy(F.least(F.lit(1023), F.floor((F.col("finish") - low) / wide)).alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("finish").alias("lo"), F.max("finish").alias("hi")).collect()
-        for r in sorted(bins, key=lambda r: r.b):
-            if base + r.s > budget:
-                low, high, n = r.lo, r.hi, r.n
-                break
-            base, best = base + r.s, r.hi
-        if low == high:
-            return best
-    sums = entries.where((F.col("finish") >= low) & (F.col("finish") <= high)).groupBy("finish").agg(F.sum("size").alias("s")).collect()
-    for r in sorted(sums, key=lambda r: r.finish):
+    spark = entries.sparkSession
+    ranged = entries.repartitionByRange(partitions(spark), "finish").withColumn("range", F.spark_partition_id())
+    ranked = Table(ranged.sortWithinPartitions("finish"), "ranked").df
+    ranges = ranked.groupBy("range").agg(F.sum("size").alias("s"), F.max("finish").alias("last")).collect()  # a row a task
+    base, best = 0, float("-inf")
+    for r in sorted(ranges, key=lambda r: r.range):
         if base + r.s > budget:
-            break
-        base, best = base + r.s, r.finish
-    return best
+            upto = F.sum("size").over(Window.partitionBy("range").orderBy("finish").rangeBetween(Window.unboundedPreceding, 0))
+            inside = ranked.where(F.col("range") == r.range).withColumn("words", upto).where(F.col("words") + base <= budget)
+            return inside.agg(F.max("finish")).first()[0] or best
+        base, best = base + r.s, r.last
+    return float("inf") if ranges else best
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2) -> DataFrame:
     """(doc_id, source, size, source_size, target, finish, taken): ``finish`` is the first service's virtual time."""
     size = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
-    sized = Table(docs.select("doc_id", "source", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(size).alias("size")), "sizes").df
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    key = F.md5(F.concat(F.lit(SEED + ":"), name)).alias("key")
+    sized = Table(docs.select("doc_id", "source", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(size).alias("size"), key), "sizes").df
     goal = Table(targets(sized, weights, share, epochs), "targets").df
-    few = goal.count() <= 100_000  # a row a source; beyond it Spark chooses how to join
-    key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    keyed = sized.join(F.broadcast(goal) if few else goal, sized.source.eqNullSafe(goal.source)).drop(goal.source)
+    keyed = sized.join(goal, sized.source.eqNullSafe(goal.source)).drop(goal.source)
     n_slices = F.ceil(F.col("n") / F.lit(SLICE_ROWS))
     part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * n_slices / F.lit(float(1 << 32))).cast("long")
-    keyed = keyed.withColumn("key", key).withColumn("part", part)
+    keyed = keyed.withColumn("part", part)
     sums = keyed.groupBy("sid", "part").agg(F.sum("size").alias("s")).withColumn("block", F.floor(F.col("part") / 1024))
     blocks = sums.groupBy("sid", "block").agg(F.sum("s").alias("s"))
     upto = (Window.unboundedPreceding, -1)
@@ -106,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 SQL = r"""
-WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS th FROM documents),
 total AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS sid FROM total),
 weighed AS (SELECT *, CASE sid % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM ranked),
