@@ -1,10 +1,12 @@
 """Benchmark decontamination: short test items found inside long documents by size-partitioned MinHash containment.
 
-Items are partitioned by their number of shingles n, and each size has its own MinHash sketch: the item's
-floor(n (1 - t)) + 1 shingles of least hash. An item of which a share t or more lies in a document has at least one
-sketch shingle there, so looking every document shingle up in the sketches misses none - banded signatures, whose
-Jaccard similarity to a long document is near zero, would. Pairs so found are verified by exact containment of their
-shingles as words. Items go to the workers in blocks of bounded size, one pass over the documents a block; documents
+Items are partitioned by size: class c holds those of 2**c to 2**(c+1) - 1 shingles, and each class is an index of its
+own. An item's MinHash signature is a bottom sketch, its shingles of least hash, of as many as its size asks for:
+floor(n (1 - t)) + 1. An item of which a share t or more lies in a document has at least one of these there, so that
+looking a document's shingles up in the sketches misses none. Banded signatures of one length for all, the other
+usual form, would: the Jaccard similarity of a short item and a long document is near zero. Documents with fewer
+shingles than t times the least size of a class skip it. Pairs so found are verified by exact containment of their
+shingles as words. Items go to the workers in blocks of bounded size, BLOCKS to a pass over the documents; documents
 are never shuffled.
 
 Defined cases: shingles are five words, lower-cased A-Z; an item or document of 1 to 4 words has its whole sequence
@@ -23,7 +25,8 @@ from .common import ship
 from .words import distinct, hashed, shingles, text_chunks
 
 K = 5
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 1_000_000  # words of items in a block
+BLOCKS = 8  # blocks a worker holds at a time
 OUT = "doc_id long, item_id long, n_shared long, n_item long"
 
 
@@ -37,8 +40,26 @@ def sketch_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+class SizeClass:
+    """The sketches of the items of one size class, sorted by hash."""
+
+    def __init__(self, g: np.ndarray, owner: np.ndarray, least: int) -> None:
+        order = np.argsort(g, kind="stable")
+        self.sketch, self.owner, self.least = g[order], owner[order], least
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[(g >> np.uint64(44)).astype(np.int64)] = True
+
+    def candidates(self, g: np.ndarray, d: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) that share a sketch shingle, of documents that are large enough."""
+        near = self.filter[(g >> np.uint64(44)).astype(np.int64)] & (sizes[d] >= self.least)
+        g, d = g[near], d[near]
+        lo, hi = np.searchsorted(self.sketch, g, "left"), np.searchsorted(self.sketch, g, "right")
+        hit = hi > lo
+        return {(int(a), int(i)) for a, x, y in zip(d[hit], lo[hit], hi[hit], strict=True) for i in self.owner[x:y]}
+
+
 class Block:
-    """Items with sketches, to look documents up in."""
+    """Items with sketches by size class, to look documents up in."""
 
     def __init__(self, rows: list, percent: int) -> None:
         self.percent = percent
@@ -53,20 +74,14 @@ class Block:
         rank = np.arange(len(g)) - first[d]
         need = np.array([sketch_size(int(n), percent) for n in self.counts])
         inside = rank < need[d]  # distinct() sorts by hash in each item: the least hashes come first
-        order = np.argsort(g[inside], kind="stable")
-        self.sketch, self.owner = g[inside][order], d[inside][order]
+        size_class = np.floor(np.log2(np.maximum(1, self.counts))).astype(np.int64)[d]
+        self.classes = [SizeClass(g[own], d[own], -(-(1 << int(c)) * percent // 100)) for c in np.unique(size_class) for own in [inside & (size_class == c)]]
         self.shingles = [g[i : i + n] for i, n in zip(first, self.counts, strict=True)]
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.sketch >> np.uint64(42)).astype(np.int64)] = True
 
-    def find(self, buf: np.ndarray, offs: np.ndarray):
-        """(document, item, shared) for each item of which enough is in a document of the chunk."""
-        h, _, _, woff = hashed(buf, offs, lower=True)
-        g, d = shingles(h, woff, K)
-        near = self.filter[(g >> np.uint64(42)).astype(np.int64)]
-        hg, hd = g[near], d[near]
-        lo, hi = np.searchsorted(self.sketch, hg, "left"), np.searchsorted(self.sketch, hg, "right")
-        found = {(int(a), int(i)) for a, x, y in zip(hd, lo, hi, strict=True) for i in self.owner[x:y]}
+    def find(self, buf: np.ndarray, offs: np.ndarray, g: np.ndarray, d: np.ndarray):
+        """(document, item, shared, of) for each item of which enough is in a document of the chunk, whose shingles are given."""
+        sizes = np.bincount(d, minlength=len(offs) - 1)
+        found = set().union(*(c.candidates(g, d, sizes) for c in self.classes))
         last, own, words = -1, None, None
         order = np.argsort(d, kind="stable") if found else None
         for doc, item in sorted(found):
@@ -85,10 +100,11 @@ class Block:
 
 
 def item_blocks(items: DataFrame, limit: int):
+    """Rows of items in blocks of about ``limit`` words; the driver holds a block at a time."""
     held, size = [], 0
     for r in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
         held.append(r)
-        size += r.text.count(" ") + 1 + r.text.count("\n")
+        size += max(1, len(r.text.split()))
         if size >= limit:
             yield held
             held, size = [], 0
@@ -96,43 +112,55 @@ def item_blocks(items: DataFrame, limit: int):
         yield held
 
 
-def contained(docs: DataFrame, items: DataFrame, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item, containment): a row for each document row and item with the given share."""
+def passes(docs: DataFrame, items: DataFrame, percent: int, block: int):
+    """Lists of broadcast blocks, each for one pass over the documents."""
     spark = docs.sparkSession
     ship(spark)
-    out = None
+    held = []
     for rows in item_blocks(items, block):
-        held = spark.sparkContext.broadcast(Block(rows, percent))  # at most ``block`` words
+        held.append(spark.sparkContext.broadcast(Block(rows, percent)))  # at most ``block`` words
+        if len(held) == BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
+
 
-        def look(batches, held=held):
-            b = held.value
+def contained(docs: DataFrame, items: DataFrame, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item, containment): a row for each document row and item with the given share."""
+    out = None
+    for blocks in passes(docs, items, percent, block):
+
+        def look(batches, blocks=blocks):
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 for first, _, buf, offs in text_chunks(batch):
-                    if got := [(ids[first + doc], b.ids[item], n, m) for doc, item, n, m in b.find(buf, offs)]:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["doc_id", "item_id", "n_shared", "n_item"])
+                    h, _, _, woff = hashed(buf, offs, lower=True)
+                    g, d = shingles(h, woff, K)
+                    for b in blocks:
+                        if got := [(ids[first + doc], b.value.ids[item], n, m) for doc, item, n, m in b.value.find(buf, offs, g, d)]:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["doc_id", "item_id", "n_shared", "n_item"])
 
         found = docs.select("doc_id", "text").mapInArrow(look, OUT)
         out = found if out is None else out.union(found)
     if out is None:
-        out = spark.createDataFrame([], OUT)
+        out = docs.sparkSession.createDataFrame([], OUT)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item; one pass a block, nothing is shuffled."""
-    spark = docs.sparkSession
-    ship(spark)
-    for rows in item_blocks(items, block):
-        held = spark.sparkContext.broadcast(Block(rows, percent))
+    """The rows of docs, with all their columns, that hold no item; one scan, nothing is shuffled."""
+    for blocks in passes(docs, items, percent, block):
 
-        def clean(batches, held=held):
-            b = held.value
+        def clean(batches, blocks=blocks):
             for batch in batches:
                 hit = np.zeros(batch.num_rows, bool)
                 for first, _, buf, offs in text_chunks(batch):
-                    for doc, *_ in b.find(buf, offs):
-                        hit[first + doc] = True
+                    h, _, _, woff = hashed(buf, offs, lower=True)
+                    g, d = shingles(h, woff, K)
+                    for b in blocks:
+                        for doc, *_ in b.value.find(buf, offs, g, d):
+                            hit[first + doc] = True
                 yield batch.filter(pa.array(~hit))
 
         docs = docs.mapInArrow(clean, docs.schema)
