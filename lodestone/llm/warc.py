@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 
@@ -93,47 +94,78 @@ def parse(raw: bytes) -> tuple[dict, int]:
     return {"record_type": kind, "record_id": fields.get("warc-record-id"), "uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"), "payload_digest": digest or hashlib.sha256(payload).hexdigest(), "payload_bytes": int(size) if size.isdigit() else len(payload), "payload": payload}, len(head) + 4 + n + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """(content, bytes taken) of the gzip member at ``at``."""
-    z = zlib.decompressobj(31)
+BLOCK, PIECE = 1 << 20, 1 << 14
+
+
+class Bytes:
+    """A file read by blocks, at any place: an archive is never held whole."""
+
+    def __init__(self, file) -> None:
+        self.file, self.size, self.low, self.block = file, file.size(), 0, b""
+
+    def get(self, at: int, n: int) -> memoryview:
+        """The n bytes at ``at``, fewer at the end of the file."""
+        if at < self.low or at + n > self.low + len(self.block) and self.low + len(self.block) < self.size:
+            self.low, self.block = at, self.file.read_at(min(max(n, BLOCK), max(0, self.size - at)), at)
+        return memoryview(self.block)[at - self.low : at - self.low + n]
+
+
+def inflate(data: Bytes, at: int) -> tuple[bytes, int]:
+    """(content, bytes taken) of the gzip member at ``at``; what follows it is read by no more than a piece."""
+    z, out, to = zlib.decompressobj(31), [], at
     try:
-        raw = z.decompress(memoryview(data)[at:])
+        while not z.eof:
+            piece = data.get(to, PIECE)
+            if not piece:
+                raise ValueError("gzip member is cut short")
+            out.append(z.decompress(piece))
+            to += len(piece)
     except zlib.error as e:
         raise ValueError(f"gzip: {e}") from e
-    if not z.eof:
-        raise ValueError("gzip member is cut short")
-    return raw, len(data) - at - len(z.unused_data)
+    return b"".join(out), to - len(z.unused_data) - at
 
 
-def starts_record(data: bytes, at: int) -> bool:
+def starts_record(data: Bytes, at: int) -> bool:
     try:
-        return zlib.decompressobj(31).decompress(data[at : at + 4096], len(VERSION)).startswith(VERSION)
+        return zlib.decompressobj(31).decompress(data.get(at, 4096), len(VERSION)).startswith(VERSION)
     except zlib.error:
         return False
 
 
-def next_start(data: bytes, at: int) -> int:
-    """Where the next member with a version line, or bare version line, begins (the length of data: nowhere)."""
-    packed, bare = at, at
-    while (packed := data.find(b"\x1f\x8b\x08", packed)) >= 0 and not starts_record(data, packed):
-        packed += 1
-    while (bare := data.find(VERSION, bare)) >= 0 and bare and data[bare - 1 : bare] != b"\n" and bare != at:
-        bare += 1
-    return min([x for x in (packed, bare) if x >= 0], default=len(data))
+def next_start(data: Bytes, at: int) -> int:
+    """Where the next member with a version line, or bare version line, begins (the size of data: nowhere)."""
+    first = at
+    while at < data.size:
+        block = bytes(data.get(at, PIECE + 16))  # pieces overlap by more than a mark is long
+        found = sorted((at + m.start(), m[0]) for m in _MARK.finditer(block) if m.start() < PIECE)
+        for place, mark in found:
+            if mark == VERSION and (place in (0, first) or bytes(data.get(place - 1, 1)) == b"\n"):
+                return place
+            if mark != VERSION and starts_record(data, place):
+                return place
+        at += PIECE
+    return data.size
+
+
+_MARK = re.compile(rb"\x1f\x8b\x08|" + re.escape(VERSION))
+
 
+def salvage(file):
+    """('record', offset, fields) for each sound record and ('gap', start, end, reason) for each stretch that isn't.
 
-def salvage(data: bytes):
-    """('record', offset, fields) for each sound record and ('gap', start, end, reason) for each stretch that isn't."""
-    at, n = 0, len(data)
-    while at < n:
+    ``file``: bytes, or an Arrow file with read_at(). Time grows with the file's size, whatever its members are.
+    """
+    data = Bytes(pa.BufferReader(file) if isinstance(file, bytes) else file)
+    at = 0
+    while at < data.size:
         try:
-            if data.startswith(b"\x1f\x8b", at):
+            if bytes(data.get(at, 2)) == b"\x1f\x8b":
                 raw, size = inflate(data, at)
                 fields, used = parse(raw)
                 if used != len(raw):
                     raise ValueError("more than a record in a member")
             else:
-                fields, size = parse(data[at:] if n - at < 1 << 16 else bare_record(data, at))
+                fields, size = parse(bare_record(data, at))
             yield "record", at, fields
             at += size
         except ValueError as e:
@@ -142,14 +174,22 @@ def salvage(data: bytes):
             at = end
 
 
-def bare_record(data: bytes, at: int) -> bytes:
-    """The uncompressed record at ``at``, without copying what follows it."""
-    end = data.find(b"\r\n\r\n", at)
-    for line in data[at : max(at, end)].split(b"\r\n"):
+def bare_record(data: Bytes, at: int) -> bytes:
+    """The uncompressed record at ``at``, or its header where the length can't be told."""
+    n = PIECE
+    while (end := bytes(data.get(at, n)).find(b"\r\n\r\n")) < 0:
+        if n >= BLOCK or at + n >= data.size or not bytes(data.get(at, len(VERSION))).startswith(VERSION):
+            raise ValueError("header without end")
+        n *= 2
+    head = bytes(data.get(at, end + 4))
+    for line in head.split(b"\r\n"):
         name, _, value = line.partition(b":")
         if name.strip().lower() == b"content-length" and value.strip().isdigit():
-            return data[at : end + 4 + int(value) + 4]
-    return data[at : max(at, end) + 4]
+            size = end + 4 + int(value) + 4
+            if at + size > data.size:
+                raise ValueError("block is cut short")
+            return bytes(data.get(at, size))
+    return head
 
 
 # ---- tables ---------------------------------------------------------------------------------------------------
@@ -209,16 +249,15 @@ def _read(archives: DataFrame, schema: str, pick) -> DataFrame:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 store, path = pafs.FileSystem.from_uri(uri)
-                with store.open_input_stream(path, compression=None) as f:
-                    data = f.read()
                 rows, size = [], 0
-                for found in salvage(data):
-                    if (row := pick(uri, found)) is not None:
-                        rows.append(row)
-                        size += len(row[-1] or b"")
-                        if len(rows) >= 2000 or size >= 4 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                            rows, size = [], 0
+                with store.open_input_file(path) as f:
+                    for found in salvage(f):
+                        if (row := pick(uri, found)) is not None:
+                            rows.append(row)
+                            size += len(row[-1] or b"")
+                            if len(rows) >= 2000 or size >= 4 << 20:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                                rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
