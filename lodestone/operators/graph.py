@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..storage import Saved
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -35,44 +38,107 @@ def similarity(edges: DataFrame, most_out: int = 1000, least: float = 0.1) -> Da
 
 
 def jaccard(edges: DataFrame, least: float = 0.1, least_size: int = 4, most_ratio: int = 9, most_out: int = 1000) -> DataFrame:
-    """(a, b, common, value) of in-neighbour sets."""
-    size = edges.groupBy("dst").agg(F.count("*").alias("n"))
-    big = size.where(F.col("n") >= least_size)
+    """(a, b, common, value) of in-neighbour sets.
+
+    Sizes travel with the edges, so that order and size ratio are tested as pairs meet and fewer are grouped.
+    """
+    size = edges.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") >= least_size)
     out = edges.groupBy("src").agg(F.count("*").alias("m")).where(F.col("m") <= most_out).select("src")
-    e = edges.join(big.select("dst"), "dst", "left_semi").join(out, "src", "left_semi")
-    common = e.select("src", F.col("dst").alias("a")).join(e.select("src", F.col("dst").alias("b")), "src").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    both = common.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.greatest("na", "nb") <= most_ratio * F.least("na", "nb"))
-    return both.select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("value")).where(F.col("value") >= least)
+    e = edges.join(size, "dst").join(out, "src", "left_semi").select("src", "dst", "n")
+    a, b = e.select("src", F.col("dst").alias("a"), F.col("n").alias("na")), e.select("src", F.col("dst").alias("b"), F.col("n").alias("nb"))
+    near = (F.col("a") < F.col("b")) & (F.greatest("na", "nb") <= most_ratio * F.least("na", "nb")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
+    common = a.join(b, "src").where(near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+    return common.select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("value")).where(F.col("value") >= least)
+
+
+def weight_sums(edges: DataFrame) -> DataFrame:
+    """(src, total, n_out): the sum of a node's outgoing weights (w; 1 where there is none), and how many links it has."""
+    w = F.sum("w") if "w" in edges.columns else F.sum(F.lit(1.0))
+    return edges.groupBy("src").agg(w.alias("total"), F.count("*").alias("n_out"))
+
+
+def has_edges(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs (src, dst) with ``linked`` and, for weighted edges, ``w`` (0 without an edge)."""
+    w = F.max("w") if "w" in edges.columns else F.lit(1.0)
+    own = edges.groupBy("src", "dst").agg(w.alias("w"))
+    rows = pairs.join(own, ["src", "dst"], "left")
+    return rows.select("src", "dst", F.col("w").isNotNull().alias("linked"), F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-4, start: DataFrame | None = None, fixed: int | None = None, relative: bool = False) -> DataFrame:
-    """(node, score). Dangling mass is spread over all nodes, or over ``start`` (node) with the teleport.
+    """(node, score) of edges (src, dst, and w for weights). Dangling mass goes to all nodes, or to ``start`` (node) with the teleport.
 
     Until no score changes by ``tolerance``, or if ``relative`` by that share of the mean score 1 / n, which holds for
-    graphs of any size. Edges are dealt by source once and kept; each iteration's plan starts from the scores before it,
-    every fifth from a checkpoint in the shared folder where there is one.
+    graphs of any size. Edges are dealt with their sources' sums once; each round's scores are written to the shared
+    folder, so that a round's plan is that round alone and a lost executor costs no more than one.
     """
-    spark = edges.sparkSession
-    out = edges.groupBy("src").agg(F.count("*").alias("n_out"))
-    links = edges.join(out, "src").repartition("src").cache()
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().cache()
-    n = max(1, nodes.count())
-    to = (start if start is not None else nodes).select("node").withColumn("t", F.lit(1.0 / (start.count() if start is not None else n)))
-    base = nodes.join(to, "node", "left").join(out.withColumnRenamed("src", "node").select("node", F.lit(1).alias("links")), "node", "left").select("node", F.coalesce("t", F.lit(0.0)).alias("t"), F.col("links").isNull().alias("dangling")).cache()
-    score = base.select("node", F.lit(1.0 / n).alias("score"))
-    keep = spark.sparkContext.getCheckpointDir() is not None
+    w = F.col("w") if "w" in edges.columns else F.lit(1.0)
+    out = weight_sums(edges)
+    links = Saved(edges.join(out, "src").select("src", "dst", (w / F.col("total")).alias("share")), "links")
+    nodes = Saved(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
+    n = max(1, nodes.df.count())
+    to = start.select("node").distinct().join(nodes.df, "node", "left_semi") if start is not None else nodes.df
+    size = max(1, to.count()) if start is not None else n
+    rows = nodes.df.join(to.withColumn("t", F.lit(1.0 / size)), "node", "left").join(out.select(F.col("src").alias("node"), F.lit(1).alias("links")), "node", "left")
+    base = Saved(rows.select("node", F.coalesce("t", F.lit(0.0)).alias("t"), F.col("links").isNull().alias("dangling")), "base")
+    score = Saved(base.df.select("node", "t", "dangling", F.lit(1.0 / n).alias("score"), F.lit(0.0).alias("change")), "scores")
     enough = tolerance / n if relative else tolerance
-    for i in range(fixed or most):
-        sent = links.join(score, links.src == score.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("n_out")).alias("got"))
-        lost = score.join(base.where("dangling"), "node").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        new = base.join(sent, "node", "left").join(F.broadcast(lost)).select("node", ((1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("t"))).alias("score"))
+    for _ in range(fixed or most):
+        now = score.df
+        sent = links.df.join(now, links.df.src == now.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        lost = now.where("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))  # one row
+        new = now.join(sent, "node", "left").join(F.broadcast(lost))
+        value = (1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("t"))
+        after = Saved(new.select("node", "t", "dangling", value.alias("score"), F.abs(value - F.col("score")).alias("change")), "scores")
+        score.drop()
+        score = after
         if not fixed:
-            new = new.checkpoint() if keep and i % 5 == 4 else new.localCheckpoint()
-            change = new.toDF("node", "new").join(score, "node").agg(F.max(F.abs(F.col("new") - F.col("score")))).first()[0]
+            change = score.df.agg(F.max("change")).first()[0]
             if change is None or change < enough:
-                return new
-        score = new
-    return score
+                break
+    links.drop()
+    return score.df.select("node", "score")
+
+
+def top_ranked(scores: DataFrame, count: int) -> DataFrame:
+    """(node, score, rank): the best, from rank 0; of equal scores the greater node comes first."""
+    best = scores.orderBy(F.desc("score"), F.desc("node")).limit(count)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("node"))) - 1)  # ``count`` rows
+
+
+def ranking_set(edges: DataFrame, influence: DataFrame, depth: int, similar: DataFrame | None = None, **how) -> DataFrame:
+    """(node, rank): the best ``depth`` nodes as seen from the influence set, on the graph of similarity where there is a set, else on all links evenly."""
+    some = influence.limit(1).count() > 0
+    graph = similar if some and similar is not None else edges
+    return top_ranked(pagerank(graph, start=influence if some else None, **how), depth).select("node", "rank")
+
+
+def undirected(pairs: DataFrame) -> DataFrame:
+    """Similar pairs (a, b, value) as edges both ways, weighted by how alike they are."""
+    one = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("value").alias("w"))
+    return one.union(one.select("dst", "src", "w"))
+
+
+def inverted(edges: DataFrame) -> DataFrame:
+    return edges.withColumnsRenamed({"src": "_d", "dst": "_s"}).withColumnsRenamed({"_d": "dst", "_s": "src"})
+
+
+#: Connectivity classes from best to worst (fixed values).
+CONNECTIVITY = ("core", "bidi_hot", "reachable_hot", "linking_hot", "bidi", "reachable", "linking", "unreachable")
+
+
+def primary_rank(edges: DataFrame, classes_: DataFrame | None, **how) -> DataFrame:
+    """(node, rank): a place by connectivity class where that is known, else by PageRank."""
+    if classes_ is not None and classes_.limit(1).count():
+        place = F.array_position(F.array(*map(F.lit, CONNECTIVITY)), F.col("class")) - 1
+        return classes_.select("node", place.cast("long").alias("rank"))
+    return pagerank(edges, **how).select("node", F.rank().over(Window.orderBy(F.desc("score"))).cast("long").alias("rank"))
+
+
+def stored_ranks(sites: DataFrame, ranked: DataFrame, size: int | None = None) -> DataFrame:
+    """sites (node) with ``rank``: place / number of ranked ones, 1 for those without a place."""
+    n = size if size is not None else max(1, ranked.count())
+    return sites.join(ranked.select("node", F.col("rank").alias("_r")), "node", "left").withColumn("rank", F.coalesce(F.col("_r") / F.lit(float(n)), F.lit(1.0))).drop("_r")
 
 
 def connectivity(edges: DataFrame, core: DataFrame, hot: int = 5) -> DataFrame:
@@ -90,20 +156,25 @@ def connectivity(edges: DataFrame, core: DataFrame, hot: int = 5) -> DataFrame:
 def classes(edges: DataFrame) -> DataFrame:
     """(node, class) for every node of the undirected edges; class is its smallest node.
 
-    Each round a node takes the least label around it, then that label's own; rounds go on until none changes.
+    Each round a node takes the least label around it, then that label's own; rounds go on until none changes. Each
+    round's labels are written to the shared folder.
     """
-    both = symmetric(edges).localCheckpoint()
-    label = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("class"))
+    both = Saved(symmetric(edges), "edges")
+    first = both.df.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
+    label = Saved(first.select("node", F.least("node", "m").alias("class"), F.lit(True).alias("moved")), "labels")
     while True:
-        label = label.localCheckpoint()
-        around = both.join(label.toDF("dst", "class"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("class").alias("m"))
-        near = label.join(around, "node").select("node", F.col("class").alias("old"), F.least("class", "m").alias("to"))
-        new = near.join(label.toDF("to", "jump"), "to").select("node", "old", F.least("to", "jump").alias("class")).localCheckpoint()
-        label = new.select("node", "class")
-        if not new.where("old <> class").limit(1).count():
-            return label
+        now = label.df.select("node", "class")
+        around = both.df.join(now.toDF("dst", "class"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("class").alias("m"))
+        near = now.join(around, "node").select("node", F.col("class").alias("old"), F.least("class", "m").alias("to"))
+        new = near.join(now.toDF("to", "jump"), "to")
+        after = Saved(new.select("node", F.least("to", "jump").alias("class"), (F.least("to", "jump") < F.col("old")).alias("moved")), "labels")
+        label.drop()
+        label = after
+        if not label.df.where("moved").limit(1).count():
+            both.drop()
+            return label.df.select("node", "class")
 
 
 def scale_rank(rank) -> F.Column:
     """A rank place as 1 to 255; without a rank 255."""
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(255), F.floor(rank * 255 / 50000))), F.lit(255)).cast("long")
+    return F.coalesce(F.when(rank.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(255), F.floor(rank * 255 / 50000)))), F.lit(255)).cast("long")

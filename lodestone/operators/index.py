@@ -35,20 +35,31 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return term_counts(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def counted_terms(docs: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, top): top is the document's greatest count.
+
+    Texts are dealt by document once; both counts then happen where the document is.
+    """
+    own = docs.select("doc_id", "text").repartition("doc_id")
+    words = own.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
+    counts = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return counts.withColumn("top", F.max("tf").over(Window.partitionBy("doc_id")))
+
+
 def tfidf(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf, value): (0.1 + 0.9 tf / max tf) ln(max(df, 1) / N), times -75, as an integer."""
-    counts = term_counts(docs)
+    counts = counted_terms(docs)
     n = docs.agg(F.count("*").alias("n_docs"))
-    most = counts.groupBy("doc_id").agg(F.max("tf").alias("top"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     v = (0.1 + 0.9 * F.col("tf") / F.col("top")) * F.log(F.greatest(F.col("df"), F.lit(1)) / F.col("n_docs"))
-    joined = counts.join(most, "doc_id").join(df, "term").join(F.broadcast(n))  # n: one row
+    joined = counts.join(df, "term").join(F.broadcast(n))  # n: one row
     return joined.select("doc_id", "term", "tf", (-v * 75).cast("int").cast("long").alias("value"))
 
 
 def position_mask(pos: F.Column, width: int = 24) -> F.Column:
-    """A bit of 56 for the window a position is in."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), ((pos / width).cast("int") % 56))
+    """Bits of 56 for the window a position is in and for the one that it is in half a window on, so that neighbours share one."""
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), ((p / width).cast("int") % 56))
+    return bit(pos).bitwiseOR(bit(pos + width // 2))
 
 
 def write_index(docs: DataFrame, path: str) -> None:

@@ -98,3 +98,13 @@ def offsets(rows: DataFrame, key: str, count: str, width: int) -> DataFrame:
     before = whole.select("_block", (F.sum("_sum").over(Window.orderBy("_block")) - F.col("_sum")).alias("_before"))
     inside = F.sum(count).over(Window.partitionBy("_block").orderBy(key)) - F.col(count)
     return rows.withColumn("_block", block).withColumn("_in", inside).join(before, "_block").withColumn("start", F.col("_before") + F.col("_in")).drop("_block", "_in", "_before")
+
+
+def address_terms(ip: Column, country: Column, asn: Column, organisation: Column) -> Column:
+    """The terms that a site's address gives all its documents."""
+    from .filters import is_cloud
+
+    blank = F.coalesce(country, F.lit("")) == ""
+    org = F.transform(F.filter(F.split(organisation, "-"), lambda x: x != ""), lambda x: F.concat(F.lit("as:"), F.lower(x)))
+    first = F.array(F.concat(F.lit("ip:"), ip), F.when(~blank, F.concat(F.lit("ip:"), F.lower(country))), F.concat(F.lit("as:"), asn.cast("string")), F.when(is_cloud(organisation), "special:cloud"))
+    return F.filter(F.concat(first, F.coalesce(org, F.array().cast("array<string>"))), lambda x: x.isNotNull())

@@ -20,10 +20,20 @@ class Weights:
     b: float = 0.5
     length: float = 5000.0
     boost: float = 1.0
+    bm25: float = 1.0
     proximity: float = 1.0
     first_position: float = 1.0
+    verbatim: float = 1.0
+    bias: str = "none"  # recent, old or none
     temporal: float = 0.0
-    year: int = 2024
+    min_year: int = 1995
+    max_year: int = 2025
+    rank: float = 0.01
+    quality: float = 1.0
+    short_sentence: int = 2
+    short_sentence_penalty: float = 5.0
+    short_document: int = 200
+    short_document_penalty: float = 5.0
 
 
 def matching(postings: DataFrame, spec: Spec, any_of: tuple[str, ...] = ()) -> DataFrame:
@@ -76,7 +86,13 @@ def phrase(postings: DataFrame, words: tuple[str | None, ...]) -> DataFrame:
 
 
 def min_distance(a: Column, b: Column) -> Column:
-    return F.array_min(F.transform(a, lambda x: F.array_min(F.transform(b, lambda y: F.abs(x - y)))))
+    """The least distance of two position lists: both are merged by position, and only neighbours of different lists compared."""
+    own = lambda c, k: F.transform(c, lambda x: F.struct(x.cast("int").alias("p"), F.lit(k).alias("k")))
+    both = F.array_sort(F.concat(own(a, 0), own(b, 1)))
+    none = F.lit(-1)
+    start = F.struct(none.alias("p"), none.alias("k"), F.lit(2147483647).alias("best"))
+    near = F.aggregate(both, start, lambda s, x: F.struct(x["p"].alias("p"), x["k"].alias("k"), F.when((s["k"] >= 0) & (s["k"] != x["k"]), F.least(s["best"], x["p"] - s["p"])).otherwise(s["best"]).alias("best")))["best"]
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), near)
 
 
 def spans_holding(spans: Column, positions: Column, length: int, how: str = "inside") -> Column:

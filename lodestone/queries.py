@@ -13,6 +13,7 @@ from .functions import text as tx
 from .operators import graph, index, relations, search
 from .plans.parse import Spec, expand, parse, paths
 from .sources import anchors_of_pages, table
+from .storage import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,7 +87,7 @@ def index_common_site_words(spark, d):
     return per.join(size, "source").where("n * 2 > m and n > 3").select("source", "term", "n")
 
 
-@query(TOK + "SELECT doc_id, bit_or(1::BIGINT << CAST((pos // 24) % 56 AS INTEGER)) AS mask FROM occ WHERE term = 'the' GROUP BY doc_id")
+@query(TOK + "SELECT doc_id, bit_or((1::BIGINT << CAST((pos // 24) % 56 AS INTEGER)) | (1::BIGINT << CAST(((pos + 12) // 24) % 56 AS INTEGER))) AS mask FROM occ WHERE term = 'the' GROUP BY doc_id")
 def index_position_mask(spark, d):
     rows = index.occurrences(docs(spark, d)).where("term = 'the'")
     return rows.groupBy("doc_id").agg(F.bit_or(index.position_mask(F.col("pos"))).alias("mask"))
@@ -195,7 +196,8 @@ def near_copies_simhash(spark, d):
     grams = words.select("doc_id", F.explode_outer(tx.rolling_hash(F.col("words"), 2)).alias("h"))
     own = grams.groupBy("doc_id").agg(*relations.simhash_votes("h"))
     # a document of fewer than two words has no shingle to compare, and is a class of its own
-    hashes = own.select("doc_id", relations.simhash_of_votes().alias("simhash"), F.when(F.col("v0").isNotNull(), relations.simhash_of_votes()).alias("h")).cache()
+    hashes = own.select("doc_id", relations.simhash_of_votes().alias("simhash"), F.when(F.col("v0").isNotNull(), relations.simhash_of_votes()).alias("h"))
+    hashes = saved(hashes, "simhash")
     links = relations.close_hashes(hashes.select("h"), 3).toDF("src", "dst")
     of = hashes.join(graph.classes(links).toDF("h", "c"), "h", "left").withColumn("c", F.coalesce("c", "h"))
     least = of.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
