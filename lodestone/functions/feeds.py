@@ -61,10 +61,19 @@ def resolve(href: Column, url: Column) -> Column:
         .when(bare.startswith("?"), F.concat(root, urls.path(url), bare))
         .otherwise(F.concat(root, urls.directory(url), bare))
     )
-    here = F.regexp_replace(joined, r"/\./", "/")
-    for _ in range(3):  # each pass takes one level up
-        here = F.regexp_replace(here, r"(?<=[^/:])/(?!\.\./)[^/?#]+/\.\./", "/")
-    return here
+    return F.when(joined.rlike(r"/\.\.?(/|[?#]|$)"), normal(joined)).otherwise(joined)
+
+
+def normal(url: Column) -> Column:
+    """A URL whose path has no . and .. segments: each .. takes the segment before it, at the root nothing."""
+    head = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    tail = F.regexp_extract(url, r"([?#].*)$", 1)
+    parts = F.slice(F.split(urls.path(url), "/"), 2, 1_000_000)
+    last = F.element_at(parts, -1)
+    step = lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.array_append(a, x))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.concat(head, F.lit("/"), F.array_join(kept, "/"), tail)
 
 
 def repaired(url: Column) -> Column:

@@ -38,7 +38,7 @@ def is_ip(domain: Column) -> Column:
 
 def top_domain(domain: Column) -> Column:
     """The last two labels, or three under second-level suffixes such as co.uk; addresses stay whole."""
-    three = F.regexp_extract(domain, r"([^.]+\.(?:co|com|org|net|gov|ac|edu)\.[a-z]{2})$", 1)
+    three = F.regexp_extract(domain, r"([^.]+\.(?:id|ac|co|org|gov|edu|com)\.[a-z]{2})$", 1)
     two = F.regexp_extract(domain, r"([^.]+\.[^.]+)$", 1)
     return F.when(is_ip(domain), domain).otherwise(F.coalesce(F.nullif(three, F.lit("")), F.nullif(two, F.lit("")), domain))
 

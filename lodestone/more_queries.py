@@ -52,7 +52,7 @@ def index_sampled_frequencies(spark, d):
 @query("SELECT l_orderkey, n, CAST(sum(n) OVER (ORDER BY l_orderkey) - n AS BIGINT) AS start FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)")
 def index_offsets(spark, d):
     counts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return keywords.offsets(counts, "l_orderkey", "n", 1000)
+    return keywords.offsets(counts, "l_orderkey", "n")
 
 
 URL_WORDS = r"""u AS (SELECT page_id, length(html) AS size, list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '[?#].*$', '')), '[a-z0-9]+'), lambda w: w <> 'www') AS ws FROM pages),
@@ -128,11 +128,11 @@ def score_first_position(spark, d):
     return first.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("first").alias("first")).select("doc_id", F.round(scoring.first_position(F.col("first")), 6).alias("score"))
 
 
-@query(TOK + "SELECT doc_id, round(CASE WHEN x > 0 AND x < 11 THEN 2 / (0.1::DOUBLE + sqrt(x)) ELSE 0 END, 6) AS score FROM (SELECT a.doc_id, min(abs(a.pos - b.pos)) AS x FROM occ a JOIN occ b USING (doc_id) WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id)")
+@query(TOK + "SELECT doc_id, round(CASE WHEN x > 0 AND x < 10 THEN 2 / (0.1::DOUBLE + sqrt(x)) ELSE 0 END, 6) AS score FROM (SELECT a.doc_id, min(abs(a.pos - b.pos)) AS x FROM occ a JOIN occ b USING (doc_id) WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id)")
 def score_proximity(spark, d):
     p = index.postings(docs(spark, d)).where("term in ('the', 'of')")
     wide = p.groupBy("doc_id").agg(*[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(t) for t in ("the", "of")]).where("the is not null and of is not null")
-    return wide.select("doc_id", F.round(scoring.proximity(search.min_distance(F.col("of"), F.col("the")), 3), 6).alias("score"))
+    return wide.select("doc_id", F.round(scoring.proximity(search.min_distance(F.col("of"), F.col("the")), 2), 6).alias("score"))
 
 
 @query(TOK + "SELECT doc_id, bit_or(1::BIGINT << least(CAST(floor(sqrt(pos)) AS INTEGER), 55)) AS mask FROM occ WHERE term = 'the' GROUP BY doc_id")
@@ -155,5 +155,6 @@ def root_pages(spark, d):
 r AS (SELECT page_id, url, h, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS dir FROM l)
 SELECT page_id, CASE WHEN h LIKE 'http%' THEN h WHEN h LIKE '/%' THEN root || h WHEN h = '' THEN regexp_replace(url, '#.*$', '') ELSE root || dir || h END AS target, count(*) AS n FROM r GROUP BY ALL""")
 def page_targets(spark, d):
-    links = table(spark, d, "pages").select("page_id", "url", F.explode(tx.hrefs(F.col("html"))).alias("href"))
+    pages = table(spark, d, "pages").select("page_id", "html", feeds.resolve(feeds.base(F.col("html"), F.col("url")), F.col("url")).alias("url"))
+    links = pages.select("page_id", "url", F.explode(tx.hrefs(F.col("html"))).alias("href"))
     return links.select("page_id", feeds.resolve(F.col("href"), F.col("url")).alias("target")).groupBy("page_id", "target").agg(F.count("*").alias("n"))

@@ -62,18 +62,39 @@ def position_mask(pos: F.Column, width: int = 24) -> F.Column:
     return bit(pos).bitwiseOR(bit(pos + width // 2))
 
 
-def write_index(docs: DataFrame, path: str) -> None:
-    part = F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int")
-    rows = postings(docs).withColumn("part", part)
+def site_terms(docs: DataFrame, site: str = "source") -> DataFrame:
+    """(doc_id, term): site: terms of a document's site and of all domains above it, and tld:."""
+    labels = F.split(F.lower(site), r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("site:"), F.array_join(F.slice(labels, i, 64), ".")))
+    last = F.concat(F.lit("tld:"), F.element_at(labels, -1))
+    return docs.where(F.col(site).isNotNull()).select("doc_id", F.explode(F.array_append(above, last)).alias("term"))
+
+
+def write_index(docs: DataFrame, path: str, terms: DataFrame | None = None, parts: int = TERM_PARTS) -> None:
+    """Writes postings, document rows and term statistics of docs; ``terms`` (doc_id, term) are added without positions."""
+    made = site_terms(docs) if "source" in docs.columns else None
+    if terms is not None:
+        made = terms.select("doc_id", "term") if made is None else made.unionByName(terms.select("doc_id", "term"))
+    rows = postings(docs)
+    if made is not None:
+        rows = rows.unionByName(made.distinct().select("term", "doc_id", F.lit(0).cast("long").alias("tf"), F.array().cast("array<int>").alias("positions")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
     rows.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("term", "doc_id").write.partitionBy("part").parquet(f"{path}/posting")
     docs.drop("text").write.parquet(f"{path}/doc")
+    docs.sparkSession.createDataFrame([(parts,)], "parts int").coalesce(1).write.parquet(f"{path}/layout")
 
 
 def read_postings(spark, path: str, terms: list[str]) -> DataFrame:
-    parts = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).alias("p")).distinct().collect()
+    n = spark.read.parquet(f"{path}/layout").first().parts
+    parts = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(n)).alias("p")).distinct().collect()
     return spark.read.parquet(f"{path}/posting").where(F.col("part").isin([r.p for r in parts]) & F.col("term").isin(terms))
 
 
+def forward(docs: DataFrame) -> DataFrame:
+    """docs without texts, by document: what is looked up for the documents that a query finds."""
+    return docs.drop("text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+
+
 def islands(rows: DataFrame, key: str, order: str, on: F.Column) -> DataFrame:
     """(key, start, end, n): the longest runs of consecutive rows of a key on which a condition holds."""
     w = Window.partitionBy(key).orderBy(order)

@@ -85,19 +85,21 @@ def merge(*stats: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, stats).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
-def offsets(rows: DataFrame, key: str, count: str, width: int) -> DataFrame:
+def offsets(rows: DataFrame, key: str, count: str) -> DataFrame:
     """rows with ``start``, the sum of the counts of all smaller keys.
 
-    Blocks of ``width`` keys are summed first and only their sums are ordered globally, so the window over rows is
-    partitioned by block.
+    Rows are dealt by ranges of the key; ranges are summed, and each range starts from the sum of those before it.
     """
     from pyspark.sql.window import Window
 
-    block = F.floor(F.col(key) / width).alias("_block")
-    whole = rows.groupBy(block).agg(F.sum(count).alias("_sum"))
-    before = whole.select("_block", (F.sum("_sum").over(Window.orderBy("_block")) - F.col("_sum")).alias("_before"))
-    inside = F.sum(count).over(Window.partitionBy("_block").orderBy(key)) - F.col(count)
-    return rows.withColumn("_block", block).withColumn("_in", inside).join(before, "_block").withColumn("start", F.col("_before") + F.col("_in")).drop("_block", "_in", "_before")
+    from ..storage import saved
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = saved(rows.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("_part").agg(F.sum(count).alias("_sum"))
+    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row a part
+    inside = F.sum(count).over(Window.partitionBy("_part").orderBy(key)) - F.col(count)
+    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn("start", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
 def address_terms(ip: Column, country: Column, asn: Column, organisation: Column) -> Column:

@@ -47,11 +47,12 @@ def close_hashes(hashes: DataFrame, most: int = 3) -> DataFrame:
     return both.where((F.col("a") < F.col("b")) & (ids.hamming(F.col("a"), F.col("b")) <= most)).select("a", "b").distinct()
 
 
-def floor_lookup(rows: DataFrame, key: str, ranges: DataFrame, start: str, value: str, salt: int = 16) -> DataFrame:
+def floor_lookup(rows: DataFrame, key: str, ranges: DataFrame, start: str, value: str, salt: int | None = None) -> DataFrame:
     """rows with the value of the greatest range start that isn't above their key, by one sorted pass of the union.
 
-    Keys are split into ``salt`` stretches, each led in by the last range before it, so no task sorts all rows.
+    Keys are split into ``salt`` stretches (as many as shuffle partitions), each led in by the last range before it, so no task sorts all rows.
     """
+    salt = salt or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     low, high = rows.agg(F.min(key), F.max(key)).first()
     if low is None:
         return rows.withColumn(value, F.lit(None).cast(ranges.schema[value].dataType))

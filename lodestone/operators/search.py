@@ -118,16 +118,26 @@ def bm25(tf: Column, df: Column, n: Column, length: Column, w: Weights = Weights
 def limits(spec: Spec, columns: dict[str, Column]) -> Column:
     ok = F.lit(True)
     for name, sign, value in spec.limits:
+        if name not in columns:
+            raise ValueError(f"the index has no {name} to limit by")
         c = columns[name]
         ok = ok & {"=": c == value, "<": c <= value, ">": c >= value}[sign]
     return ok
 
 
-def score(postings: DataFrame, docs: DataFrame, spec: Spec, w: Weights = Weights()) -> DataFrame:
-    """(doc_id, score): BM25 over the ranked terms of matching documents, times exp(boost terms found / 5)."""
+def found(postings: DataFrame, spec: Spec) -> DataFrame:
+    """doc_id of documents that match, with all phrases and none of the excluded ones."""
     ids = matching(postings, spec)
     for p in spec.phrases:
         ids = ids.join(phrase(postings, p).select("doc_id"), "doc_id", "left_semi")
+    for p in spec.excluded_phrases:
+        ids = ids.join(phrase(postings, p).select("doc_id"), "doc_id", "left_anti")
+    return ids
+
+
+def score(postings: DataFrame, docs: DataFrame, spec: Spec, w: Weights = Weights()) -> DataFrame:
+    """(doc_id, score): BM25 over the ranked terms of matching documents, times exp(boost terms found / 5)."""
+    ids = found(postings, spec)
     n = docs.agg(F.count("*").alias("n_docs"))
     wanted = postings.where(F.col("term").isin(list(spec.terms + spec.boosts)))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
@@ -137,6 +147,15 @@ def score(postings: DataFrame, docs: DataFrame, spec: Spec, w: Weights = Weights
     return rows.groupBy("doc_id").agg((F.sum(part) * F.exp(F.sum(extra) / 5)).alias("score"))
 
 
+def factors(postings: DataFrame, docs: DataFrame, spec: Spec, w: Weights = Weights()) -> DataFrame:
+    """(doc_id, term, tf, df, n_docs, n_chars, part): the shares of score(), a row a word."""
+    wanted = postings.where(F.col("term").isin(list(spec.terms)))
+    n = docs.agg(F.count("*").alias("n_docs"))
+    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    rows = wanted.join(found(postings, spec), "doc_id", "left_semi").join(F.broadcast(df), "term").join(F.broadcast(n)).join(docs.select("doc_id", "n_chars"), "doc_id")
+    return rows.select("doc_id", "term", "tf", "df", "n_docs", "n_chars", bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("n_chars"), w).alias("part"))
+
+
 def top(scored: DataFrame, group: str, limit: int = 20, per_group: int = 2) -> DataFrame:
     """The best ``limit`` with at most ``per_group`` of a group, and how many scored the group had.
 

@@ -139,7 +139,7 @@ def allocate(new: DataFrame, load: DataFrame, key: str = "name", wide: dict[str,
     span = load.join(F.broadcast(n)).join(F.broadcast(low))
     places = span.select("node", F.explode(F.when(F.col("_low") + F.col("_n") >= F.col("n"), F.sequence(F.col("n"), F.col("_low") + F.col("_n")))).alias("_at"))
     level = places.groupBy("_at").agg(F.count("*").alias("_c"))
-    start = offsets(level, "_at", "_c", 1000).select("_at", F.col("start").alias("_s"))
+    start = offsets(level, "_at", "_c").select("_at", F.col("start").alias("_s"))
     w = Window.partitionBy("_at").orderBy("node")
     place = places.withColumn("_i", F.row_number().over(w) - 1).join(start, "_at").select("node", (F.col("_s") + F.col("_i")).alias("_place"))
     placed = free.join(place, free._number == place._place).select(*new.columns, "node")

@@ -44,9 +44,18 @@ def feed_items(json: DataFrame, column: str) -> DataFrame:
     return feed.select("domain", "feedUrl", "updated", F.inline("items"))
 
 
-def write_journal(postings: DataFrame, path: str) -> None:
-    """Postings by language, as the construction step reads them."""
-    postings.write.partitionBy("lang").parquet(path)
+def write_journal(docs: DataFrame, path: str) -> None:
+    """Postings of docs (doc_id, lang, text) by language, as the construction step reads them: terms are hashed to ids."""
+    from ..operators import index
+
+    words = index.occurrences(docs.select("doc_id", "lang", F.lit(None).cast("string").alias("source"), "text"))
+    rows = words.groupBy("lang", "term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    rows.withColumn("term_id", F.xxhash64("term")).write.partitionBy("lang").parquet(path)
+
+
+def journal_languages(spark: SparkSession, path: str) -> list[str]:
+    """The languages a journal has (its partitions)."""
+    return sorted(r.lang for r in spark.read.parquet(path).select("lang").distinct().collect())
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -38,6 +38,11 @@ def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     return Saved(df, kind).df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def swap(spark: SparkSession, source: str, target: str) -> None:
     """Puts a finished folder in the place of another: the old one stands aside until the new one is there."""
     jvm = spark.sparkContext._jvm
@@ -61,10 +66,7 @@ def upsert_into(df: DataFrame, path: str, key: str, order: str) -> None:
     from .operators.relations import upsert
 
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    both = upsert(spark.read.parquet(path), df, key, order) if there else upsert(df, df.limit(0), key, order)
+    both = upsert(spark.read.parquet(path), df, key, order) if exists(spark, path) else upsert(df, df.limit(0), key, order)
     staged = f"{path}.new-{uuid.uuid4().hex}"
     both.write.parquet(staged)
     swap(spark, staged, path)

@@ -25,6 +25,23 @@ def test_ranked(engine):
     assert [(r.seen, r.doc_id) for r in engine.search("red fox", per_source=1).collect() if r.source == "a"][0][0] == 2
 
 
+def test_answers(spark, tmp_path):
+    rows = [(1, "red fox runs", "en", "blog.a.org", 12, 1999), (2, "red wolf foo-bar", "en", "a.org", 16, 2000), (3, "red fox jumps", "en", "b.org", 13, 2001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, year int")
+    sets = {"small": spark.createDataFrame([("b.org",)], "source string"), "none": spark.createDataFrame([], "source string")}
+    e = Engine.build(docs, str(tmp_path / "i"), spark.createDataFrame([(2, "format:html")], "doc_id long, term string"), sets=sets)
+    ids = lambda q: {r.doc_id for r in e.search(q).collect()}
+    for q, want in {"red year>2000": {2, 3}, "red year<2000": {1, 2}, "red year=2000": {2}, 'red -"red fox"': {2}, "red -foo-bar": {1, 3}, "foo-bar": {2}, "red site:*.a.org": {1, 2}, "red site:a.org": {2}, "red tld:org -wolf": {1, 3}, "red format:html": {2}, "red set:small": {3}, "red set:none": {1, 2, 3}}.items():
+        assert ids(q) == want, q
+        assert set(e.unranked(q)[0]) == want, q
+    for q in ("red q>3", "red set:other", "red near:5", "red qs=RF_TITLE"):
+        with pytest.raises(ValueError):
+            e.search(q)
+    parts = e.explain("red fox").groupBy("doc_id").sum("part").collect()
+    assert {r[0]: round(r[1], 9) for r in parts} == {r.doc_id: round(r.score, 9) for r in e.execute(e._spec("red fox", None)).collect()}
+    assert e.calculate("2+2") == "4" and len(e.to_json(e.search_v1("red"))) == 3
+
+
 def test_paging(engine):
     first, cursor = engine.unranked("red", count=3)
     rest, end = engine.unranked("red", count=3, cursor=cursor)
@@ -54,7 +71,7 @@ def test_feed(spark):
     assert spark.range(1).select(F.size(feeds.items(F.lit("")))).first()[0] == 0
 
 
-@pytest.mark.parametrize("href,want", [("/x", "http://h/x"), ("x#f", "http://h/a/x"), ("../x", "http://h/x"), ("//o/x", "http://o/x"), ("mailto:a@b", None), ("?q=1", "http://h/a/b?q=1"), ("https://o/", "https://o/"), ("", "http://h/a/b")])
+@pytest.mark.parametrize("href,want", [("/x", "http://h/x"), ("x#f", "http://h/a/x"), ("../x", "http://h/x"), ("//o/x", "http://o/x"), ("mailto:a@b", None), ("../../../../../x", "http://h/x"), ("./y/../z/", "http://h/a/z/"), ("..", "http://h/"), ("?q=1", "http://h/a/b?q=1"), ("https://o/", "https://o/"), ("", "http://h/a/b")])
 def test_resolve(spark, href, want):
     assert spark.range(1).select(feeds.resolve(F.lit(href), F.lit("http://h/a/b"))).first()[0] == want
 
@@ -77,3 +94,8 @@ def test_streams_match_batches(spark, tmp_path):
     q = streaming.sink_upserts(stream(), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 200
+    again = rows.where("event_id < 50").withColumn("ts", F.col("ts") + F.expr("interval 1 day")).withColumn("url", F.lit("new"))
+    again.write.parquet(str(tmp_path / "in2"))
+    streaming.sink_upserts(streaming.events_stream(spark, str(tmp_path / "in2"), rows.schema), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 200 and out.where("url = 'new'").count() == 50
