@@ -8,7 +8,7 @@ Edges are windows of ``k`` consecutive words. The graph is built by minimizers,
 2. Windows whose anchor is in the bitmap are the graph's edges. They are dealt by anchor with their source coordinate
    (text, position) and neighbouring words, one edge a task however often the task has it. Edges that occur twice are
    kept, and runs of consecutive kept edges that don't branch (every occurrence has the same word before and after)
-   are compacted into one path piece within the reducer.
+   are compacted into one path piece within the reducer; those of edges that a task has twice by itself within the task.
 3. Pieces of one text are then joined end to start, on Spark, by their coordinates into the longest repeated spans,
    and these are checked against the text: a span must lie inside it and consist of whole windows.
 
@@ -141,7 +141,9 @@ def edges(docs: DataFrame, k: int, filled, n_buckets: int) -> DataFrame:
             b, f = one(before), one(after)
             again = np.repeat(n > 1, n)
             if again.any():
-                yield _spans(pieces(k1[again], k2[again], pos[again], np.repeat(f == BRANCH, n)[again]))
+                # joined by coordinates at once, across branches too: a text that repeats a word or two over and over
+                # branches at each of them
+                yield _spans(pieces(k1[again], k2[again], pos[again], np.zeros(int(again.sum()), bool)))
             out.add((a[start] % U(n_buckets)).astype(np.int32), e1[start], e2[start], k1[start], k2[start], pos[start], b, f, n > 1)
             for batch in out.rows_out():
                 m = batch.num_rows
