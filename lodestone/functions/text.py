@@ -96,3 +96,8 @@ def body_text(html: Column) -> Column:
     """Text without scripts, styles, navigation and tags."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|form)\b.*?</\1>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
+
+
+def abbreviated(title_: Column, most: int = 128) -> Column:
+    """At most so many characters, the last three dots where some are left out."""
+    return F.when(F.length(title_) <= most, title_).otherwise(F.concat(F.substring(title_, 1, most - 3), F.lit("...")))
