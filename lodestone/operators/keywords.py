@@ -110,3 +110,41 @@ def address_terms(ip: Column, country: Column, asn: Column, organisation: Column
     org = F.transform(F.filter(F.split(organisation, "-"), lambda x: x != ""), lambda x: F.concat(F.lit("as:"), F.lower(x)))
     first = F.array(F.concat(F.lit("ip:"), ip), F.when(~blank, F.concat(F.lit("ip:"), F.lower(country))), F.concat(F.lit("as:"), asn.cast("string")), F.when(is_cloud(organisation), "special:cloud"))
     return F.filter(F.concat(first, F.coalesce(org, F.array().cast("array<string>"))), lambda x: x.isNotNull())
+
+
+MAX_POSITIONS = 512  # of a word in a document (fixed value)
+
+
+def capped(postings: DataFrame) -> DataFrame:
+    """Postings with at most MAX_POSITIONS positions each, and the mask of those."""
+    first = postings.withColumn("positions", F.slice("positions", 1, MAX_POSITIONS))
+    return first.withColumn("mask", F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a.bitwiseOR(index.position_mask(p))))
+
+
+#: Hosts and users of mail addresses that tell nothing by themselves.
+COMMON_HOSTS = ("hotmail.com", "gmail.com", "outlook.com", "yahoo.com")
+COMMON_USERS = ("info", "webmaster", "admin", "mail", "contact")
+
+
+def mail_terms(text: Column) -> Column:
+    """The addresses in a text, their hosts after @, and hosts and users that aren't everyone's."""
+    def terms(m: Column) -> Column:
+        low = F.lower(m)
+        user, host = F.substring_index(low, "@", 1), F.substring_index(low, "@", -1)
+        return F.array(low, F.concat(F.lit("@"), host), F.when(~host.isin(*COMMON_HOSTS), host), F.when(~user.isin(*COMMON_USERS), user))
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(tx.mail_parts(text), terms)), lambda x: x.isNotNull()))
+
+
+def link_positions(counts: DataFrame, key: str, text: str, count: str) -> DataFrame:
+    """(key, term, pos) of the words of link texts (key, text, count), one text after the other with gaps of two.
+
+    A text is taken repeats() times, as many positions on each time.
+    """
+    from pyspark.sql.window import Window
+
+    rows = counts.select(key, text, tx.tokens(F.col(text)).alias("_w"), repeats(F.col(count)).alias("_r")).where("size(_w) > 0")
+    wide = (F.size("_w") + 2) * F.col("_r")
+    rows = rows.withColumn("_off", F.sum(wide).over(Window.partitionBy(key).orderBy(text)) - wide)
+    each = rows.select(key, "_w", "_off", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_r") - 1)).alias("_i"))
+    return each.select(key, "_off", "_i", F.size("_w").alias("_n"), F.posexplode("_w").alias("_j", "term")).select(key, "term", (F.col("_off") + F.col("_i") * (F.col("_n") + 2) + 2 + F.col("_j") + 1).cast("long").alias("pos"))

@@ -55,6 +55,17 @@ def matching_paths(postings: DataFrame, paths: list[tuple[str, ...]]) -> DataFra
     return held.where(reduce(Column.__or__, ok, F.lit(False))).select("doc_id")
 
 
+def tree_value(postings: DataFrame, paths: list[tuple[str, ...]], value: Column, how: str) -> DataFrame:
+    """(doc_id, value): the greatest over the paths that a document has whole of the least (min) or the sum of its terms' values."""
+    terms = list(dict.fromkeys(t for p in paths for t in p))
+    wide = postings.where(F.col("term").isin(terms)).groupBy("doc_id").agg(*[F.max(F.when(F.col("term") == t, value)).alias(f"v{i}") for i, t in enumerate(terms)])
+    of = lambda p: [F.col(f"v{terms.index(t)}") for t in p]
+    fold_ = (lambda cs: F.least(*cs) if len(cs) > 1 else cs[0]) if how == "min" else (lambda cs: reduce(Column.__add__, cs))
+    whole = [F.when(reduce(Column.__and__, [c.isNotNull() for c in of(p)]), fold_(of(p))) for p in paths]
+    best = F.greatest(*whole) if len(whole) > 1 else whole[0]
+    return wide.select("doc_id", best.cast("long").alias("value")).where("value is not null")
+
+
 def semi_chain(postings: DataFrame, spec: Spec) -> DataFrame:
     """As matching(), literally by semi and anti joins: a cross-check of the aggregate."""
     ids = lambda t: postings.where(F.col("term") == t).select("doc_id").distinct()
