@@ -10,9 +10,10 @@ The number of passes follows from the number of bits and the threshold: a pair e
 with probability ``miss`` at most, closer pairs far less. Identical vectors are collapsed first. Runs longer than a
 tile are dealt out by pairs of tiles, so that a large group of near copies is spread over many tasks.
 
-Defined cases: a null label, null vector, vector of zeros or with null or non-finite components links with nothing; a
-vector of another length than others is compared with its own length only; repeated rows (same id too) are vectors of
-their own that link with each other; an empty table gives no rows; other columns are left out.
+Defined cases: labels of any simple type are told apart as text; a null label, null vector, vector of zeros or with
+null or non-finite components links with nothing; a vector of another length than others is compared with its own
+length only; repeated rows (same id too) are vectors of their own that link with each other; an empty table gives no
+rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def prepare(rows: DataFrame, passes: int, bits: int, tiles: DataFrame | None = N
                 for p in range(passes):
                     yield pa.RecordBatch.from_arrays([la, pa.array(np.full(len(own), p, np.int32)), pa.array(c[:, p].astype(np.int64)), u, w, v, raw], ["label", "pass", "code", "uid", "weight", "unit", "codes"])
 
-    return rows.select("uid", "label", "weight", "unit").mapInArrow(run, "label int, pass int, code long, uid long, weight long, unit binary, codes binary")
+    return rows.select("uid", "label", "weight", "unit").mapInArrow(run, "label string, pass int, code long, uid long, weight long, unit binary, codes binary")
 
 
 def compare(a, b, same: bool, p: int, threshold: float, links: dict, edges: list) -> None:
@@ -161,7 +162,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, miss: float = 1e-7
     good = e.isNotNull() & F.col("label").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     key = F.when(good, F.concat_ws(",", F.transform(e, lambda x: F.format_string("%a", (x + F.lit(0.0)).cast("double")))))
     # the class of a row: its label and exact vector
-    all_rows = Table(rows.select("vec_id", F.col("label").cast("int").alias("label"), F.when(good, F.transform(e, lambda x: x.cast("double"))).alias("v"), F.sha2(key, 256).alias("h")), "vectors")
+    all_rows = Table(rows.select("vec_id", F.col("label").cast("string").alias("label"), F.when(good, F.transform(e, lambda x: x.cast("double"))).alias("v"), F.sha2(key, 256).alias("h")), "vectors")
     df = all_rows.df
     classes = df.where("h is not null").groupBy("label", "h").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first("v").alias("v"))
     classes = classes.withColumn("uid", F.xxhash64("label", "h"))
@@ -175,7 +176,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, miss: float = 1e-7
                 units.append((x / np.sqrt((x * x).sum())).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(units, pa.binary()), batch.column(4)], ["uid", "label", "weight", "unit", "low"])
 
-    classes = Table(classes.select("uid", "label", "weight", "v", "low").mapInArrow(normalise, "uid long, label int, weight long, unit binary, low long"), "classes").df
+    classes = Table(classes.select("uid", "label", "weight", "v", "low").mapInArrow(normalise, "uid long, label string, weight long, unit binary, low long"), "classes").df
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits = min(30, max(4, math.ceil(math.log2(max(1, most) / run + 1))))
     n_passes = passes_for(bits, threshold, miss)
