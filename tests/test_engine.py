@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone import more_queries  # noqa: F401  registers its queries
+from lodestone import graph_queries, more_queries, score_queries, site_queries, text_queries, tree_queries  # noqa: F401  they register their queries
 from lodestone import queries as Q
 from lodestone.functions import ids, urls
 from lodestone.operators import graph, index, relations, search
