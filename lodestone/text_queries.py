@@ -70,7 +70,7 @@ def _words_of(kind: str):
     def run(text: pd.Series) -> pd.Series:
         out = []
         for t in text:
-            s = language.sentences(t or "")
+            s = language.sentences(t or "", whole=True)
             found = language.names(s) if kind == "names" else language.subjects(s)
             out.append([{"word": w, "n": n} for w, n in found.items()])
         return pd.Series(out)
@@ -80,13 +80,13 @@ def _words_of(kind: str):
 
 @query(None)
 def keywords_names(spark, d):
-    """(doc_id, word, n) of words that look like names."""
+    """(doc_id, word, n) of words that look like names, from whole texts."""
     return docs(spark, d).where("lang = 'en'").select("doc_id", F.inline(_words_of("names")("text")))
 
 
 @query(None)
 def keywords_subjects(spark, d):
-    """(doc_id, word, n) of nouns that a verb follows."""
+    """(doc_id, word, n) of nouns that a verb follows, from whole texts."""
     return docs(spark, d).where("lang = 'en'").select("doc_id", F.inline(_words_of("subjects")("text")))
 
 

@@ -76,3 +76,14 @@ def test_language_and_spread(spark):
     want = min(max(c) - min(c) for c in itertools.product(*lists))
     got = spark.createDataFrame([tuple(lists)], "a array<int>, b array<int>, c array<int>").select(scoring.min_spread([F.col(x) for x in "abc"]).alias("d")).first().d
     assert got == want
+
+
+def test_subjects_of_whole_texts(spark, tmp_path):
+    """Words beyond 50,000 characters and 500 sentences count; the extractor's own limits stay for those who want them."""
+    from lodestone import text_queries as T
+
+    texts = ["blah " * 12_000 + ". The dog is big.", "No. " * 600 + "The cat was here.", "The cow is " + "x, " * 10, None]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in T.keywords_subjects(spark, str(tmp_path)).collect()}
+    assert got == {(0, "dog", 1), (1, "cat", 1), (2, "cow", 1)}
+    assert len(L.sentences(texts[1])) == L.MAX_SENTENCES and len(L.sentences(texts[1], whole=True)) == 601
