@@ -87,3 +87,18 @@ def test_subjects_of_whole_texts(spark, tmp_path):
     got = {tuple(r) for r in T.keywords_subjects(spark, str(tmp_path)).collect()}
     assert got == {(0, "dog", 1), (1, "cat", 1), (2, "cow", 1)}
     assert len(L.sentences(texts[1])) == L.MAX_SENTENCES and len(L.sentences(texts[1], whole=True)) == 601
+
+
+def test_subjects_stand_before_verbs():
+    """Against each noun and each suffix tried at each place."""
+    import random
+
+    r = random.Random(2)
+    pool = "The a to it big cars walked, very not is was , . ran. NASA's 's Steve McQueen 12 running. happily famous of dog, dogs us".split()
+    for _ in range(200):
+        doc, want = L.sentences(" ".join(r.choices(pool, k=80))), {}
+        for s in doc:
+            for a, b in L.spans(s, "noun"):
+                if s.next_comma(b - 1) > b and any(p.bitmap(s.pos)[b] and s.next_comma(b) >= b + len(p.sets) - 1 for p in L.grammar("subject_suffix") if b < len(s.words)):
+                    want[s.stemmed(a, b)] = want.get(s.stemmed(a, b), 0) + 1
+        assert L.subjects(doc) == want
