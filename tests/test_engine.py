@@ -161,6 +161,33 @@ def test_near_copies_find_classes(spark, tmp_path):
     assert set(map(tuple, relations.close_hashes(spark.createDataFrame([(h,) for h in signed], "h long")).collect())) == want
 
 
+def test_equal_nodes_rank_by_id(spark, tmp_path):
+    """Nodes with equal links have equal scores, of which the greater id is first, however rows are dealt; against fractions."""
+    import random
+    from fractions import Fraction
+
+    r, n = random.Random(4), 240
+    out = {a: [b for b in range(n) if (a % 7 + 1) >> b % 3 & 1] for a in range(n)}  # nodes alike by threes
+    pairs = [(a, b) for a in out for b in out[a]]
+    r.shuffle(pairs)
+    spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i, b) for i, (_, b) in enumerate(pairs)], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    score = dict.fromkeys(range(n), Fraction(1, n))
+    for _ in range(3):
+        new = {b: Fraction(3, 200) * (b < 10) for b in range(n)}
+        for a, b in pairs:
+            new[b] += Fraction(17, 20) * score[a] / len(out[a])
+        score = new
+    want = sorted(score, key=lambda x: (score[x], x), reverse=True)[:50]
+    spark.createDataFrame(pairs, "src long, dst long").repartition(6).write.parquet(str(tmp_path / "e"))
+    dealt = graph.ranking_set(spark.read.parquet(str(tmp_path / "e")), spark.range(10).toDF("node"), 50, fixed=3)
+    assert {x.node: x.rank for x in dealt.collect()} == {x: i for i, x in enumerate(want)}
+    best = {x.node: x.rank for x in Q.QUERIES["graph_ranking_set"](spark, str(tmp_path)).collect()}
+    assert best == {x: i for i, x in enumerate(want)}
+    stored = {x.node: x.rank for x in Q.QUERIES["graph_stored_ranks"](spark, str(tmp_path)).collect()}
+    assert stored == {x: want.index(x) / 50 if x in want else 1.0 for x in range(n)}
+
+
 def test_stream_changes(spark, tmp_path):
     from lodestone import streaming as S
 
