@@ -43,7 +43,7 @@ def close_hashes(hashes: DataFrame, most: int = 3) -> DataFrame:
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*(F.struct(F.lit(i).alias("i"), F.col("h").bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(masks)))
     e = hashes.where("h is not null").distinct().select("h", F.explode(keys).alias("k")).select("k.i", "k.v", "h")
-    both = e.withColumnRenamed("h", "a").join(e.withColumnRenamed("h", "b"), ["i", "v"])
+    both = e.withColumnRenamed("h", "a").join(e.withColumnRenamed("h", "b").hint("merge"), ["i", "v"])
     return both.where((F.col("a") < F.col("b")) & (ids.hamming(F.col("a"), F.col("b")) <= most)).select("a", "b").distinct()
 
 

@@ -161,6 +161,24 @@ def test_near_copies_find_classes(spark, tmp_path):
     assert set(map(tuple, relations.close_hashes(spark.createDataFrame([(h,) for h in signed], "h long")).collect())) == want
 
 
+def test_near_copies_broadcast_nothing(spark, tmp_path, monkeypatch):
+    """No table that grows with the documents is sent through the driver, in the rounds or after them."""
+    plans = []
+
+    class Watched(graph.Saved):
+        def __init__(self, df, kind="table"):
+            super().__init__(df, kind)
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(graph, "Saved", Watched)
+    words = [f"w{i}" for i in range(300)]
+    spark.createDataFrame([(i, " ".join([*words[:i], "x", *words[i + 1 :]])) for i in range(12)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = Q.near_copies_simhash(spark, str(tmp_path))
+    assert len(out.collect()) == 12
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_equal_nodes_rank_by_id(spark, tmp_path):
     """Nodes with equal links have equal scores, of which the greater id is first, however rows are dealt; against fractions."""
     import random
